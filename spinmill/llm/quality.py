@@ -11,6 +11,8 @@ from .common import WS_WORD, settled, whole
 BUCKETS = 1 << 14
 #: A document below this mean log ratio (nats a feature, trusted against raw) is rejected.
 MIN_RATIO = -0.15
+#: Ids of trusted documents up to which they are broadcast; beyond, documents and ids are shuffled together.
+MOST_BROADCAST = 1_000_000
 #: Added to each bucket's count.
 ALPHA = 1.0
 
@@ -37,7 +39,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     docs has __id and __text; trusted has __id, distinct. The counts come from every document; a row for each bucket
     is the most that meets in one task.
     """
-    marked = docs.join(trusted.select("__id", F.lit(1).alias("__good")), "__id", "left")
+    good = trusted.select("__id", F.lit(1).alias("__good"))
+    marked = docs.join(F.broadcast(good) if trusted.count() <= MOST_BROADCAST else good.hint("merge"), "__id", "left")
     hw = F.col("__hw")
     both = F.concat(
         F.transform(hw, lambda x: _uni(x, buckets)),
