@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality
+from . import decontam, licenses, linededup, mixing, ngram_lm, quality, simhash, toxicity, urls
 from .common import table
 
 
@@ -35,7 +35,35 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_quality_rules, op7_mix_sources)}
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = ngram_lm.fit_and_score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_toxicity, op5_quality_rules, op6_decontaminate, op7_mix_sources, op8_line_dedup, op9_url_filter, op10_simhash)}
 
 #: Filled where DuckDB can say the same over whole tables.
 ORACLES: dict[str, str] = {}
