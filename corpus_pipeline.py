@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spinmill.llm import mixing, quality
+from spinmill.llm import decontam, linededup, mixing, quality, simhash
 from spinmill.llm.common import shared_dir, table
 from spinmill.llm.queries import trusted_ids
 
@@ -17,12 +18,42 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return judged.where("kept").select(docs.columns)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less their repeated lines; those left without a word go."""
+    text = linededup.line_dedup(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return text.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among ids; a null is an id like another."""
+    ids = ids.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    return without(docs, groups.where("doc_id <> component_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontam.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("n_hit > 0"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often."""
     return mixing.mix(docs).where("repeats > 0").select("doc_id", "source", "size", "target", "repeats", "taken")
 
 
-STAGES = [("quality", keep_quality), ("mix", mix_sources)]
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", dedup_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mix", mix_sources),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

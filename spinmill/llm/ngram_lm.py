@@ -24,8 +24,8 @@ from .common import shared_dir, ws_words
 SHARD_TOKENS = 2_000_000
 #: Tokens that a task counts before it passes sums on, and those it holds as words at a time.
 FLUSH, CHUNK = 1_500_000, 200_000
-#: Weight of the shorter context's estimate, as a number of observations.
-MU = (20.0, 4.0)
+#: What is taken off a successor's count of one, of two, and of more, for the shorter context's estimate.
+DISCOUNTS = (0.9, 1.3, 1.5)
 #: Steps of the probabilities' logarithm: 16 bits over 12 decades.
 STEPS, DECADES = 65535, 12.0
 END = xxhash.xxh64_intdigest(b"")
@@ -131,6 +131,10 @@ def restored(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, 10.0 ** ((q / STEPS - 1) * DECADES), 0.0)
 
 
+def discounts(counts: np.ndarray, steps: tuple[float, ...]) -> np.ndarray:
+    return np.array(steps)[np.minimum(counts, len(steps)) - 1]
+
+
 def save(path: str, parts: dict) -> None:
     """Arrays in one file behind a header, in place at once, so that a repeated task leaves the same whole file."""
     head, at, blobs = {}, 0, []
@@ -200,6 +204,19 @@ class Vocabulary:
         sums = self.shard(s)[1]
         return (sums.get(at + 1) - sums.get(at)).astype(np.int64)
 
+    def backoff(self, ids: np.ndarray) -> np.ndarray:
+        """Weight of the unigram after each word, `size` standing for a text's begin; 1 where nothing followed it."""
+        out = np.ones(len(ids))
+        where = np.searchsorted(self.first, ids, "right") - 1
+        for s in np.unique(where[ids >= 0]):
+            if (key := f"back{s}") not in self.open:
+                path = f"{self.folder}/backoff-{s}"
+                self.open[key] = load(path)["q"] if os.path.exists(path) else None
+            if self.open[key] is not None:
+                own = np.flatnonzero((where == s) & (ids >= 0))
+                out[own] = restored(self.open[key][ids[own] - self.first[s]])
+        return out
+
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
         where = np.searchsorted(self.first, ids, "right") - 1
@@ -264,18 +281,18 @@ def chunks(batches, column: str = "text", size: int = CHUNK):
                 words, counts, first = [], [], i + 1
 
 
-def _packed(shards: np.ndarray, columns: list[np.ndarray], counts: np.ndarray):
+def _packed(shards: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, kind=np.uint32):
     """A record batch with a row for each shard: its sorted columns."""
     order = np.argsort(shards, kind="stable")
     at = np.append(runs([shards[order]]), len(order))
     rows = [order[a:b] for a, b in zip(at, at[1:])]
     return pa.RecordBatch.from_arrays(
-        [pa.array([int(shards[r[0]]) for r in rows], pa.int32()), *(pa.array([planes(c[r]) for r in rows], pa.binary()) for c in columns), pa.array([planes(counts[r].astype(np.uint32)) for r in rows], pa.binary())],
+        [pa.array([int(shards[r[0]]) for r in rows], pa.int32()), *(pa.array([planes(c[r]) for r in rows], pa.binary()) for c in columns), pa.array([planes(counts[r].astype(kind)) for r in rows], pa.binary())],
         ["shard", *(f"c{i}" for i in range(len(columns))), "n"],
     )
 
 
-def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_TOKENS, mu: tuple[float, float] = MU) -> dict:
+def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_TOKENS, steps: tuple[float, ...] = DISCOUNTS) -> dict:
     """Counts of all texts of docs, as a trie in the shared folder; what `score` needs to find it."""
     spark = docs.sparkSession
     src = docs.select(F.col(text_col).alias("text"))
@@ -309,7 +326,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
     sizes = [0] * n
     for r in made:
         sizes[r["shard"]] = r["size"]
-    model = {"folder": folder, "sizes": sizes, "shards": n, "tokens": sum(r["total"] for r in made), "types": sum(sizes), "docs": row["docs"], "mu": mu}
+    model = {"folder": folder, "sizes": sizes, "shards": n, "tokens": sum(r["total"] for r in made), "types": sum(sizes), "docs": row["docs"], "steps": steps}
     wide = np.uint32 if model["types"] + 1 < 2**32 else np.uint64
 
     def count_trigrams(batches):
@@ -342,16 +359,32 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
         rank_a = np.cumsum(np.isin(np.arange(len(a)), first)) - 1
         pair_of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(a))))
         u = words.size + 1
-        one = np.where(a[pair] < words.size, 0, model["docs"])
+        off, total = discounts(k, steps), np.add.reduceat(k, pair)
+        one = np.full(len(pair), model["docs"], np.int64)
         known = a[pair] < words.size
         one[known] = words.counts(a[pair][known])
+        off_pair = discounts(pair_count, steps)
         parts = _level("a", a[first]) | _level("b", rank_a[pair] * u + b[pair]) | _level("c", pair_of * u + c)
-        parts |= {"b.q": quantised(pair_count / (one + mu[0])), "b.back": quantised(mu[1] / (pair_count + mu[1])), "c.q": quantised(k / (pair_count[pair_of] + mu[1]))}
+        parts |= {"b.q": quantised((pair_count - off_pair) / one), "b.back": quantised(np.add.reduceat(off, pair) / total), "c.q": quantised((k - off) / total[pair_of])}
         save(f"{folder}/trie-{s}", parts)
-        return pa.table({"shard": pa.array([s], pa.int32()), "size": pa.array([len(k)], pa.int64())})
+        # What this shard's pairs leave to the unigram, by first word: sent to the word's shard of the vocabulary.
+        (heads,), left = summed([a[pair]], off_pair)
+        return pa.Table.from_batches([_packed(np.searchsorted(words.first, heads, "right") - 1, [heads], left, np.float64)])
 
-    grams = src.mapInArrow(count_trigrams, "shard int, c0 binary, c1 binary, c2 binary, n binary").groupBy("shard").applyInArrow(write_trie, "shard int, size bigint").collect()
-    return model | {"full": sorted(r["shard"] for r in grams)}
+    def write_backoff(table: pa.Table) -> pa.Table:
+        s, words = table.column("shard")[0].as_py(), Vocabulary(folder, sizes)
+        (ids,), left = summed([np.concatenate([unplaned(x.as_py(), np.int64) for x in table.column("c0")])], np.concatenate([unplaned(x.as_py(), np.float64) for x in table.column("n")]))
+        begin = ids == words.size
+        total = np.full(len(ids), model["docs"], np.int64)
+        total[~begin] = words.counts(ids[~begin])
+        q = np.full(sizes[s] if s < n else 1, STEPS, np.uint16)
+        q[ids - words.first[s]] = quantised(left / total)
+        save(f"{folder}/backoff-{s}", {"q": q})
+        return pa.table({"shard": pa.array([s], pa.int32())})
+
+    grams = src.mapInArrow(count_trigrams, "shard int, c0 binary, c1 binary, c2 binary, n binary").groupBy("shard").applyInArrow(write_trie, "shard int, c0 binary, n binary")
+    grams.groupBy("shard").applyInArrow(write_backoff, "shard int").count()
+    return model
 
 
 def local_path(uri: str) -> str:
@@ -376,11 +409,13 @@ def contexts(ids: np.ndarray, counts: np.ndarray, begin: int) -> tuple[np.ndarra
 class Trie:
     def __init__(self, model: dict):
         self.m, self.open, self.words = model, {}, Vocabulary(model["folder"], model["sizes"])
-        self.full = set(model["full"])
 
-    def shard(self, s: int) -> dict:
-        if s not in self.open:
-            parts = load(f"{self.m['folder']}/trie-{s}")
+    def shard(self, s: int) -> dict | None:
+        """None if no pair fell into the shard."""
+        if s not in self.open and not os.path.exists(path := f"{self.m['folder']}/trie-{s}"):
+            self.open[s] = None
+        elif s not in self.open:
+            parts = load(path)
             self.open[s] = {k: _mapped(parts, k) for k in "abc"} | {k: parts[k] for k in ("b.q", "b.back", "c.q")}
         return self.open[s]
 
@@ -388,12 +423,11 @@ class Trie:
         """For each token: its count in training, the unigram and the trie's log10 probability."""
         n, v = self.m["tokens"], self.m["types"]
         ids, seen = self.words.lookup(hashes)
+        after = self.words.backoff(np.append(ids, self.words.size))
         base = (seen + 0.5) / (n + 0.5 * (v + 1))
         ids, p1, seen = ids[number], base[number], seen[number]
         w0, w1 = contexts(ids, counts, self.words.size)
-        u, mu = self.words.size + 1, self.m["mu"]
-        one = np.where(w1 == self.words.size, self.m["docs"], 0)
-        one[1:] += np.where((w1 >= 0) & (w1 < self.words.size), np.concatenate(([0], seen[:-1])), 0)[1:]
+        u = self.words.size + 1
         # Pairs that end at each token, and the pair before it, which is its context.
         pair, p2 = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
         back, where = np.ones(len(ids)), np.full(len(ids), -1, np.int64)
@@ -421,7 +455,10 @@ class Trie:
             at = t["c"].find(distinct)
             found = np.where(at >= 0, restored(t["c.q"][np.maximum(at, 0)]) if t["c"].n else 0.0, 0.0)
             p3[own] = found[inv]
-        two = p2 + mu[0] / (one + mu[0]) * p1
+        leave = np.empty(len(ids))
+        leave[1:] = after[number[:-1]]
+        leave[starts] = after[-1]
+        two = p2 + leave * p1
         return seen, np.log10(p1), np.log10(np.where(before >= 0, p3 + back * two, two))
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, u: int):
@@ -429,9 +466,9 @@ class Trie:
         rank, q, back = np.full(len(a), -1, np.int64), np.zeros(len(a)), np.ones(len(a))
         s = context_shard(a, b, self.m["shards"])
         for x in np.unique(s):
-            if int(x) not in self.full:
-                continue
             own, t = np.flatnonzero(s == x), self.shard(int(x))
+            if t is None:
+                continue
             first = t["a"].find(a[own])
             own, first = own[first >= 0], first[first >= 0]
             at = t["b"].find(first * u + b[own])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linededup, mixing, ngram_lm, quality, simhash, toxicity, urls
+from . import decontam, licenses, linededup, mixing, ngram_lm, quality, simhash, suffix_dedup, toxicity, urls
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
@@ -63,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_toxicity, op5_quality_rules, op6_decontaminate, op7_mix_sources, op8_line_dedup, op9_url_filter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_toxicity, op4_suffix_dedup, op5_quality_rules, op6_decontaminate, op7_mix_sources, op8_line_dedup, op9_url_filter, op10_simhash)}
 
 #: Filled where DuckDB can say the same over whole tables.
 ORACLES: dict[str, str] = {}

@@ -10,12 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, settled
 
 #: Labelled rows that the classifier is fitted on at most; the first by a hash of their id.
 MOST_LABELLED = 20_000
 #: A word counts as a feature if so many of those rows have it.
 MIN_ROWS = 5
+#: and if its share of toxic rows is so many standard deviations from the mean.
+DEVIATIONS = 3.0
+#: Bytes of a word's beginnings that are features too.
+PREFIXES = (4, 5, 6, 8)
 THRESHOLD = 0.3
 
 # Identity terms by kind; a swap replaces a term with another of its kind.
@@ -45,26 +49,38 @@ def swapped(words: list[bytes], turn: int) -> list[bytes]:
     return out
 
 
-def fit(rows: list[tuple[set[bytes], set[bytes] | None, int]], *, swap_weight: float = 1.0, ridge: float = 2.0, rounds: int = 250, min_rows: int = MIN_ROWS) -> dict[bytes, float]:
-    """Weights by word, the bias under b"". rows: (words, words after a swap or None, label).
+def features(word: bytes) -> tuple[int, ...]:
+    """Hashes of the word and of its beginnings, which inflected and compound forms share."""
+    h = xxhash.xxh3_64_intdigest
+    return (h(word), *(h(word[:k], 1) for k in PREFIXES if len(word) > k))
+
+
+def feature_set(words, memo: dict[bytes, tuple[int, ...]]) -> set[int]:
+    """Distinct features; memo keeps those of words met before, and is emptied when large."""
+    out: set[int] = set()
+    if len(memo) > 300_000:
+        memo.clear()
+    for w in set(words):
+        own = memo.get(w)
+        if own is None:
+            own = memo[w] = features(w)
+        out.update(own)
+    return out
+
+
+def fit(rows: list[tuple[set[int], set[int] | None, int]], *, swap_weight: float = 1.0, ridge: float = 3.0, rounds: int = 200) -> dict[int, float]:
+    """Weights by feature, the bias under -1. rows: (features, features after a swap or None, label).
 
     Minimises the log loss, plus swap_weight times the squared change of the score under the swap, plus a ridge, by
     gradient steps of Adam from zero: the same rows give the same weights.
     """
     if not rows:
-        return {b"": math.log(0.1 / 0.9)}
-    seen: dict[bytes, int] = {}
-    for words, *_ in rows:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    vocabulary = sorted(w for w, n in seen.items() if n >= min_rows or w in KIND)
-    for w in KIND:
-        if w not in seen:
-            vocabulary.append(w)
-    number = {w: i for i, w in enumerate(vocabulary)}
+        return {-1: math.log(0.1 / 0.9)}
+    vocabulary = sorted(set().union(*(r[0] for r in rows), *(r[1] for r in rows if r[1] is not None)))
+    number = {f: i for i, f in enumerate(vocabulary)}
 
     def matrix(sets):
-        own = [sorted(number[w] for w in s if w in number) for s in sets]
+        own = [sorted(number[f] for f in s) for s in sets]
         counts = np.array([len(x) for x in own], np.int64)
         return np.array([i for x in own for i in x], np.int64), np.repeat(np.arange(len(own)), counts), len(own)
 
@@ -88,43 +104,73 @@ def fit(rows: list[tuple[set[bytes], set[bytes] | None, int]], *, swap_weight: f
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return {x: float(w[i]) for x, i in number.items() if abs(w[i]) > 1e-4} | {b"": float(b)}
+    return {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3} | {-1: float(b)}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
-    """At most `most` labelled rows, as fit() takes them. Their ids alone are broadcast: a bounded number."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> dict[int, float]:
+    """Weights from at most `most` labelled rows. Their ids, and the features that tell, are broadcast: bounded by `most`."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(most).select(F.col(id_col).alias("id"), "y")
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    src = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id"))
+    total = src.agg(F.count("*"), F.sum("y")).first()
 
-    def words_of(batches):
+    def counts(batches):
+        memo: dict = {}
+        for batch in batches:
+            n: dict[int, int] = {}
+            bad: dict[int, int] = {}
+            for value, y in zip(batch.column("text"), batch.column("y").to_pylist()):
+                for f in feature_set(alnum_words(value.as_py()), memo):
+                    n[f] = n.get(f, 0) + 1
+                    if y:
+                        bad[f] = bad.get(f, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(n, np.uint64, len(n)).view(np.int64)), pa.array(n.values(), pa.int64()), pa.array([bad.get(f, 0) for f in n], pa.int64())], ["f", "n", "bad"])
+
+    sums = src.mapInArrow(counts, "f bigint, n bigint, bad bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= MIN_ROWS)
+    p = ((total[1] or 0) + 0.5) / (total[0] + 1)
+    sums = sums.where(F.abs(F.col("bad") - F.col("n") * p) >= DEVIATIONS * F.sqrt(F.col("n") * (p * (1 - p))))
+    kept = docs.sparkSession.sparkContext.broadcast(frozenset(r["f"] & (2**64 - 1) for r in sums.select("f").collect()))
+
+    def own_features(batches):
+        memo: dict = {}
+        pack = lambda s: np.fromiter(sorted(s & kept.value), np.uint64).tobytes()
         for batch in batches:
             plain, swaps = [], []
             for i, value in enumerate(batch.column("text")):
                 words = alnum_words(value.as_py())
-                own = set(words)
-                other = set(swapped(words, i)) if not KIND.keys().isdisjoint(own) else None
-                plain.append(b" ".join(sorted(own)))
-                swaps.append(None if other is None else b" ".join(sorted(other)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), pa.array(plain, pa.binary()), pa.array(swaps, pa.binary()), batch.column("y")], ["id", "words", "swapped", "y"])
+                plain.append(pack(feature_set(words, memo)))
+                swaps.append(None if KIND.keys().isdisjoint(words) else pack(feature_set(swapped(words, len(words)), memo)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), pa.array(plain, pa.binary()), pa.array(swaps, pa.binary()), batch.column("y")], ["id", "own", "swap", "y"])
 
-    rows = src.mapInArrow(words_of, "id string, words binary, swapped binary, y int").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], bytes(r["words"])))[:most]
-    return [(set(bytes(r["words"]).split()), None if r["swapped"] is None else set(bytes(r["swapped"]).split()), r["y"]) for r in rows]
+    unpack = lambda x: None if x is None else set(np.frombuffer(bytes(x), np.uint64).tolist())
+    rows = src.mapInArrow(own_features, "id string, own binary, swap binary, y int").collect()
+    rows = sorted((r["id"], bytes(r["own"]), r["swap"], r["y"]) for r in rows)[:most]
+    return fit([(unpack(own), unpack(swap), y) for _, own, swap, y in rows])
 
 
-def score(docs: DataFrame, weights: dict[bytes, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score (0 to 1) of each whole text, by the distinct words in it; an empty or null text has the bias alone."""
+def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, score (0 to 1) of each whole text, by the distinct features in it; an empty or null text has the bias alone."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(weights)  # at most the words of MOST_LABELLED rows
+    model = docs.sparkSession.sparkContext.broadcast(weights)  # at most what MOST_LABELLED rows hold
 
     def run(batches):
         w = dict(model.value)
-        bias = w.pop(b"", 0.0)
-        known, get = set(w), w.__getitem__
+        bias = w.pop(-1, 0.0)
+        memo: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
-            z = np.array([bias + math.fsum(map(get, known.intersection(alnum_words(t.as_py())))) for t in batch.column("text")], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["id", "score"])
+            z = []
+            for value in batch.column("text"):
+                if len(memo) > 500_000:
+                    memo.clear()
+                found: set[int] = set()
+                for word in set(alnum_words(value.as_py())):
+                    own = memo.get(word)
+                    if own is None:
+                        own = memo[word] = tuple(f for f in features(word) if f in w)
+                    if own:
+                        found.update(own)
+                z.append(bias + math.fsum(map(w.__getitem__, found)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())], ["id", "score"])
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
@@ -136,5 +182,5 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Rows with a null id or label aren't learnt from; all rows are scored, each by itself. Without labels every score is
     a tenth.
     """
-    weights = fit(labelled_sample(docs, labels, id_col, text_col, label_col, most))
+    weights = train(docs, labels, id_col, text_col, label_col, most)
     return score(docs, weights, id_col, text_col).withColumns({"held_out": held_out(id_col), "predicted": (F.col("score") >= threshold).cast("int")})
