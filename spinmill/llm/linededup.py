@@ -52,26 +52,34 @@ def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def variants(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position): the whole line at -1, then the line without each word. Equal sequences have equal keys."""
-    n = len(h)
-    up, down = powers(BASE, n), powers(INVERSE, 2)
-    run = np.concatenate(([np.uint64(0)], np.cumsum(h * up)))
-    less = run[:-1] + (run[-1] - run[1:]) * down[1] if n > 1 else np.zeros(1, np.uint64)
-    keys = mixed(np.concatenate((run[-1:] + np.uint64(n), less + np.uint64(n - 1))))
-    return keys.view(np.int64), np.arange(-1, n)
+def variants(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, position, line) of lines with so many hashes each: every whole line at -1, then each without each word.
 
-
-def halves(h: np.ndarray) -> list[int]:
+    Equal sequences have equal keys: sums of hashes by powers of BASE, all from one running sum, brought back to each
+    line's own first power.
+    """
+    n, ends = len(h), np.cumsum(counts)
+    starts = ends - counts
+    up, down = powers(BASE, n + 1), powers(INVERSE, n + 1)
+    run = np.concatenate(([np.uint64(0)], np.cumsum(h * up[:n])))
+    line = np.repeat(np.arange(len(counts)), counts)
+    a, b, i = starts[line], ends[line], np.arange(n)
+    whole = (run[ends] - run[starts]) * down[starts]
+    less = (run[i] - run[a] + (run[b] - run[i + 1]) * np.uint64(INVERSE)) * down[a]
+    size = counts.astype(np.uint64)
+    keys = mixed(np.concatenate((whole + size, less + size[line] - np.uint64(1))))
+    return keys.view(np.int64), np.concatenate((np.full(len(counts), -1), i - a)), np.concatenate((np.arange(len(counts)), line))
+
+
+def halves(words: list[bytes]) -> list[int]:
     """Hashes of the first and last words, of which two lines a word apart share one at least.
 
     As many words as half the power of two below the line's length, and below its length less one, so that both lines
     have a length in common.
     """
-    n, out = len(h), []
+    n, out = len(words), []
     for half in dict.fromkeys(1 << (m.bit_length() - 2) for m in (n, n - 1)):
-        first, last = h[:half].tobytes(), h[n - half :].tobytes()
-        out += [xxhash.xxh64_intdigest(first, half), xxhash.xxh64_intdigest(last, half + 1)]
+        out += [xxhash.xxh64_intdigest(b" ".join(words[:half]), half), xxhash.xxh64_intdigest(b" ".join(words[n - half :]), half + 1)]
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
@@ -98,7 +106,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            take, no, k1, k2, ms, hv, memo = [], [], [], [], [], [], {}
+            take, no, k1, k2, ms, hv = [], [], [], [], [], []
             for i, value in enumerate(batch.column("text")):
                 for j, line in enumerate(text_bytes(value.as_py()).split(b"\n")):
                     words = line.split()
@@ -110,7 +118,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                     k1.append((d >> 64) - (1 << 63))
                     k2.append((d & ((1 << 64) - 1)) - (1 << 63))
                     ms.append(len(words))
-                    hv.append(halves(word_hashes(words, memo)) if len(words) >= LONG else None)
+                    hv.append(halves(words) if len(words) >= LONG else None)
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("t").take(at), pa.array(no, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ms, pa.int32()), pa.array(hv, pa.list_(pa.int64()))], ["id", "t", "no", "k1", "k2", "m", "halves"])
 
@@ -118,7 +126,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, t bigint, no int, k1 bigint, k2 bigint, m int, halves array<bigint>")
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, folder: str) -> DataFrame:
     """a, b: for each line with an earlier one an edit away, such an earlier line. lines: ord (earlier is smaller), line.
 
     Variants of all lines are grouped by their key. Two lines that agree without the word at the same place are a
@@ -127,21 +135,21 @@ def near_lines(lines: DataFrame) -> DataFrame:
     """
 
     def emit(batches):
+        memo: dict = {}
         for batch in batches:
-            keys, places, ords, memo, n = [], [], [], {}, 0
-            for o, value in zip(batch.column("ord").to_pylist(), batch.column("line")):
-                k, p = variants(word_hashes(text_bytes(value.as_py()).split(), memo))
-                keys.append(k)
-                places.append(p)
-                ords.append(np.full(len(k), o, np.int64))
-                n += len(k)
-                if n > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, ords)], ["key", "place", "ord"])
-                    keys, places, ords, n = [], [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, ords)], ["key", "place", "ord"])
-
-    keyed = lines.mapInArrow(emit, "key bigint, place bigint, ord bigint")
+            words, counts, first = [], [], 0
+            ords = batch.column("ord").to_numpy()
+            for i, value in enumerate(batch.column("line")):
+                own = text_bytes(value.as_py()).split()
+                words += own
+                counts.append(len(own))
+                if len(words) > 200_000 or i == batch.num_rows - 1:
+                    key, place, line = variants(word_hashes(words, memo), np.array(counts, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(ords[first + line])], ["key", "place", "ord"])
+                    words, counts, first = [], [], i + 1
+
+    lines.mapInArrow(emit, "key bigint, place bigint, ord bigint").write.parquet(f"{folder}/variants")
+    keyed = lines.sparkSession.read.parquet(f"{folder}/variants")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("place") < 0, F.col("ord"))).alias("full"), F.min(F.when(F.col("place") >= 0, F.col("ord"))).alias("short")).where("n > 1")
     met = settled(keyed.join(shared, "key"))
     at_place = met.where("place >= 0").groupBy("key", "place").agg(F.min("ord").alias("alike"))
@@ -186,7 +194,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = src.join(by_doc, src["id"].eqNullSafe(by_doc["id"]) & (src["t"] == by_doc["t"])).select("text", F.explode("want").alias("w"))
     held = held.select("w.ord", F.get(F.split("text", "\n", -1), F.col("w.no")).alias("line"))
     held.write.parquet(f"{folder}/candidates")
-    near = near_lines(spark.read.parquet(f"{folder}/candidates")).select(F.col("a").alias("ord")).distinct()
+    near = near_lines(spark.read.parquet(f"{folder}/candidates"), folder).select(F.col("a").alias("ord")).distinct()
 
     fates = lines.join(near.withColumn("near", F.lit(True)), "ord", "left").where("n > 1 or near").select("k1", "k2", "own", "near")
     gone = every.join(fates, ["k1", "k2"]).where(F.col("near").isNotNull() | ~place.eqNullSafe(F.col("own")))
