@@ -10,15 +10,15 @@ from .common import ANY_CASE_WORD, LOWER, UPPER, whole
 # The contract's phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Label; keyword that must occur; name and SPDX identifier as regexes over lower-case words.
+# Label; keywords of which one must occur; name and SPDX identifier as regexes over lower-case words.
 FAMILIES = [
     ("gpl", "gnu", r"gnu general public licen[cs]e", r"gpl [123] 0(?: only| or later)?"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", r"lgpl [23] [01](?: only| or later)?"),
+    ("lgpl", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", r"lgpl [23] [01](?: only| or later)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e", r"agpl [13] 0(?: only| or later)?"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e", r"gfdl 1 [123](?: only| or later)?"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e", r"apache [12] [01]"),
     ("mit", "mit", r"mit licen[cs]e", r"mit(?: 0)?"),
-    ("bsd-2", "bsd", r"(?:bsd 2 clause|simplified bsd|freebsd)(?: licen[cs]e)?", r"bsd 2 clause"),
+    ("bsd-2", "bsd|freebsd", r"(?:bsd 2 clause|simplified bsd|freebsd)(?: licen[cs]e)?", r"bsd 2 clause"),
     ("bsd-3", "bsd", r"(?:bsd 3 clause|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", r"bsd 3 clause"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|original bsd)(?: licen[cs]e)?", r"bsd 4 clause"),
     ("bsd", "bsd", r"bsd (?:style )?licen[cs]e", r"0bsd"),
@@ -57,12 +57,12 @@ FAMILIES = [
     ("pddl", "dedication", r"public domain dedication and licen[cs]e", r"pddl 1 0"),
     ("public-domain", "domain", r"public domain", r"licenseref public domain"),
     ("cc0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?", r"cc0 1 0"),
-    ("cc-by", "by", r"(?:cc by|creative commons attribution)(?! (?:nc|nd|sa|noncommercial|noderivatives|noderivs|sharealike|non|no|share))", r"cc by \d 0"),
-    ("cc-by-sa", "by", r"(?:cc by sa|creative commons attribution share ?alike)", r"cc by sa \d 0"),
-    ("cc-by-nd", "by", r"(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))", r"cc by nd \d 0"),
-    ("cc-by-nc", "by", r"(?:cc by nc|creative commons attribution non ?commercial)(?! (?:sa|nd|share|no))", r"cc by nc \d 0"),
-    ("cc-by-nc-sa", "by", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", r"cc by nc sa \d 0"),
-    ("cc-by-nc-nd", "by", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))", r"cc by nc nd \d 0"),
+    ("cc-by", "cc|creative", r"(?:cc by|creative commons attribution)(?! (?:nc|nd|sa|noncommercial|noderivatives|noderivs|sharealike|non|no|share))", r"cc by \d 0"),
+    ("cc-by-sa", "cc|creative", r"(?:cc by sa|creative commons attribution share ?alike)", r"cc by sa \d 0"),
+    ("cc-by-nd", "cc|creative", r"(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))", r"cc by nd \d 0"),
+    ("cc-by-nc", "cc|creative", r"(?:cc by nc|creative commons attribution non ?commercial)(?! (?:sa|nd|share|no))", r"cc by nc \d 0"),
+    ("cc-by-nc-sa", "cc|creative", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", r"cc by nc sa \d 0"),
+    ("cc-by-nc-nd", "cc|creative", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))", r"cc by nc nd \d 0"),
 ]
 
 # Priority (lower is stronger), weight, and the forms in which a name N or an identifier S is stated.
@@ -79,7 +79,7 @@ GATE = ["licen", "spdx", "cc", "creative", "public", "domain", "bsd", "perl", "w
 
 
 def rules() -> list[tuple[str, str, str, int, float, bool]]:
-    """(label, keyword, regex, priority, weight, whether of the base), strongest first."""
+    """(label, keywords, regex, priority, weight, whether of the base), strongest first."""
     worded = lambda rx: rf"(?<= )(?:{rx})(?= )"
     made = [(label, phrase.split()[0], worded(phrase), 9, 0.5, True) for phrase, label in BASE.items()]
     for priority, weight, form in FORMS:
@@ -98,13 +98,13 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     first and past count words from 0. A detection is suppressed if it lies in the interval of one of the same or a
     stronger priority; base phrases count in n_base and stay among the detections in any case. Rules run only where
-    their keyword occurs in the text's words, and only on texts that pass GATE. Null and empty texts have no words and
+    one of their keywords begins a word of the text, and only on texts that pass GATE. Null and empty texts have no words and
     no detections; every row is judged by itself. Columns of docs named as the results are replaced.
     """
     kind = "array<struct<first:bigint,past:bigint,label:string,priority:int,weight:double,base:boolean>>"
-    table = ", ".join(f"struct({_literal(la)} as label, {_literal(' ' + k)} as kw, {_literal(rx)} as rx, {p} as priority, {w}D as weight, {str(b).lower()} as base)" for la, k, rx, p, w, b in rules())
+    table = ", ".join(f"struct({_literal(la)} as label, array({', '.join(_literal(' ' + x) for x in k.split('|'))}) as kws, {_literal(rx)} as rx, {p} as priority, {w}D as weight, {str(b).lower()} as base)" for la, k, rx, p, w, b in rules())
     blanks = "length({0}) - length(replace({0}, ' ', ''))"
-    found = rf"""flatten(transform(filter(array({table}), r -> contains(__norm, r.kw)), r -> aggregate(
+    found = rf"""flatten(transform(filter(array({table}), r -> exists(r.kws, k -> contains(__norm, k))), r -> aggregate(
         split(regexp_replace(__norm, r.rx, '\u0001$0\u0002'), '[\u0001\u0002]'),
         named_struct('at', 0L, 'odd', false, 'out', cast(array() as {kind})),
         (s, p) -> named_struct('at', s.at + {blanks.format("p")}, 'odd', not s.odd, 'out', if(s.odd, array_append(s.out,
