@@ -23,7 +23,7 @@ from .common import shared_dir, ws_words
 #: Tokens of training text for each shard, so that a shard's size doesn't grow with the corpus.
 SHARD_TOKENS = 2_000_000
 #: Tokens that a task counts before it passes sums on, and those it holds as words at a time.
-FLUSH, CHUNK = 1_500_000, 200_000
+FLUSH, CHUNK = 1_500_000, 800_000
 #: What is taken off a successor's count of one, of two, and of more, for the shorter context's estimate.
 DISCOUNTS = (0.9, 1.3, 1.5)
 #: Steps of the probabilities' logarithm: 16 bits over 12 decades.
@@ -77,6 +77,18 @@ class EliasFano:
             x = np.where(up, x >> np.uint64(half), part)
         return w * 64 + at
 
+    def _ones_from(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from each position on."""
+        w, shift = at >> 6, (at & 63).astype(np.uint64)
+        x = ~(self.high[w] >> shift)  # zeros shifted in at the top end the row, unless it goes on in the next word
+        out = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        room = 64 - (at & 63)
+        out = np.minimum(out, room)
+        on = np.flatnonzero((out == room) & (w + 1 < len(self.high)))
+        if len(on):
+            out[on] += self._ones_from((w[on] + 1) << 6)
+        return out
+
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
             return np.zeros(len(i), np.uint64)
@@ -101,9 +113,10 @@ class EliasFano:
         most = len(self.high) * 64 - self.n - 1  # zeros beyond the first
         inside = top <= most
         top = np.minimum(top, most)
-        lo = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) - (top - 1), 0)
-        hi = np.minimum(self._select(top, False) - top, self.n)
-        lo = np.minimum(lo, self.n)
+        # The values with these high bits are the ones after the zero before: their number is that of the ones in a row.
+        at = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) + 1, 0)
+        lo = np.minimum(at - top, self.n)
+        hi = np.minimum(lo + self._ones_from(at), self.n)
         end, want = hi.copy(), x & np.uint64((1 << self.l) - 1)
         live = np.flatnonzero(lo < hi)
         while len(live):
@@ -159,7 +172,7 @@ def load(path: str) -> dict:
     with open(path, "rb") as f:
         n = int.from_bytes(f.read(8), "little")
         head = json.loads(f.read(n))
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
     return {k: raw[n + 8 + v[2] : n + 8 + v[2] + v[1] * np.dtype(v[0]).itemsize].view(v[0]) if isinstance(v, list) else v for k, v in head.items()}
 
 
@@ -368,7 +381,8 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
         parts |= {"b.q": quantised((pair_count - off_pair) / one), "b.back": quantised(np.add.reduceat(off, pair) / total), "c.q": quantised((k - off) / total[pair_of])}
         save(f"{folder}/trie-{s}", parts)
         # What this shard's pairs leave to the unigram, by first word: sent to the word's shard of the vocabulary.
-        (heads,), left = summed([a[pair]], off_pair)
+        follows = b[pair] < words.size  # a text's begin follows nothing
+        (heads,), left = summed([a[pair][follows]], off_pair[follows])
         return pa.Table.from_batches([_packed(np.searchsorted(words.first, heads, "right") - 1, [heads], left, np.float64)])
 
     def write_backoff(table: pa.Table) -> pa.Table:
@@ -469,7 +483,8 @@ class Trie:
             own, t = np.flatnonzero(s == x), self.shard(int(x))
             if t is None:
                 continue
-            first = t["a"].find(a[own])
+            begin = runs([a[own]])  # pairs come sorted
+            first = np.repeat(t["a"].find(a[own][begin]), np.diff(np.append(begin, len(own))))
             own, first = own[first >= 0], first[first >= 0]
             at = t["b"].find(first * u + b[own])
             own, at = own[at >= 0], at[at >= 0]
