@@ -353,6 +353,9 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
         for _, _, hashes, number, counts in chunks(batches):
             ids = words.lookup(hashes)[0][number]
             w0, w1 = contexts(ids, counts, words.size)
+            # An end is followed by the next begin, so that pairs that end a text count too.
+            last = np.cumsum(counts) - 1
+            w0, w1, ids = np.append(w0, w1[last]), np.append(w1, ids[last]), np.append(ids, np.full(len(last), words.size))
             (a, b, c), k = summed([w0, w1, ids], np.ones(len(ids), np.int64))
             held.append((a, b, c, k))
             size += len(a)

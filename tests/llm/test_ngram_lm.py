@@ -39,6 +39,8 @@ def plain_model(texts):
             uni[w] = uni.get(w, 0) + 1
             three.setdefault((a, b), {}).setdefault(w, 0)
             three[a, b][w] += 1
+        three.setdefault((([None] + own)[-2], b""), {}).setdefault(None, 0)
+        three[([None] + own)[-2], b""][None] += 1
     for (a, b), after in three.items():
         # A pair's count is that of its trigrams as a context.
         if b is not None:
