@@ -34,7 +34,7 @@ def _bi(a: Column, b: Column, buckets: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with `ratio`, an array of log(p_trusted / p_raw) by bucket.
+    """One row with `__ratio`, an array of log(p_trusted / p_raw) by bucket.
 
     docs has __id and __text; trusted has __id, distinct. The counts come from every document; a row for each bucket
     is the most that meets in one task.
@@ -52,7 +52,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     one = full.agg(F.sum("raw").alias("nr"), F.sum("good").alias("ng"), F.array_sort(F.collect_list(F.struct("b", "raw", "good"))).alias("t"))
     p = lambda c, n: (c + F.lit(ALPHA)) / (n + F.lit(ALPHA * buckets))
     ratio = F.transform("t", lambda x: F.log(p(x["good"], F.col("ng")) / p(x["raw"], F.col("nr"))))
-    return one.select(F.when(F.col("ng") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("ratio"))
+    return one.select(F.when(F.col("ng") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("__ratio"))
 
 
 def quality_rules(
@@ -76,8 +76,8 @@ def quality_rules(
         "__lines": lines,
         "__win": F.array_sort(windows),
         "__sum": F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")), F.lit(0.0), lambda acc, i: acc
-            + F.coalesce(F.get("ratio", _uni(F.get(hw, i), buckets)), F.lit(0.0))
-            + F.coalesce(F.get("ratio", _bi(F.get(hw, i), F.get(hw, i + 1), buckets)), F.lit(0.0))),
+            + F.coalesce(F.get("__ratio", _uni(F.get(hw, i), buckets)), F.lit(0.0))
+            + F.coalesce(F.get("__ratio", _bi(F.get(hw, i), F.get(hw, i + 1), buckets)), F.lit(0.0))),
     })
     win = F.col("__win")
     same = lambda x, k: F.coalesce(F.get(win, k)["h"] == x["h"], F.lit(False))

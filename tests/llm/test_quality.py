@@ -51,7 +51,7 @@ def test_ratios_by_hand(spark):
 
     docs = spark.createDataFrame([(1, "a b"), (2, "a"), (3, None)], "__id int, __text string")
     good = spark.createDataFrame([(1,)], "__id int")
-    ratio = quality.log_ratios(docs, good, buckets=4096).first()["ratio"]
+    ratio = quality.log_ratios(docs, good, buckets=4096).first()["__ratio"]
     h = {r["w"]: r["h"] for r in spark.sql("SELECT w, xxhash64(w) & 4095 AS h FROM VALUES ('a'), ('b') AS t(w)").collect()}
     # Raw: a twice, b and the pair once; trusted: each once. 4 and 3 features.
     assert ratio[h["a"]] == pytest.approx(math.log((2 / 4099) / (3 / 4100)))
