@@ -233,8 +233,9 @@ def pyrochlore(*supercell: tuple[int, int, int]) -> Lattice:
     return Lattice(sites, tetras, rings, volumes, bonds, vectors)
 
 
-def symmetries(lat: Lattice, translations: bool = True, inversion: bool = False) -> list[list[int]]:
-    """Site permutations (site n goes to p[n]) by primitive translations and inversion about site 0, as far as they fit."""
+def symmetries(lat: Lattice, translations: bool = True, inversion: bool = False, linear: tuple = ()) -> list[list[int]]:
+    """Site permutations (site n goes to p[n]) by primitive translations, inversion and other whole-number matrices
+    (rotations, reflections) about site 0, as far as they fit the lattice."""
     where = {}
     cells = [v for v in lat.vectors]
 
@@ -253,6 +254,7 @@ def symmetries(lat: Lattice, translations: bool = True, inversion: bool = False)
     moves = [lambda x, v=v: add(x, v) for v in PRIMITIVE] if translations else []
     if inversion:
         moves.append(lambda x: tuple(-v for v in x))
+    moves += [lambda x, m=m: tuple(sum(m[r][c] * x[c] for c in range(3)) for r in range(3)) for m in linear]
     made = [[where.get(reduced(f(x)), -1) for x, _ in lat.sites] for f in moves]
     return [p for p in made if sorted(p) == list(range(lat.n_sites))]
 

@@ -65,6 +65,10 @@ def test_symmetries_keep_tetrahedra():
     tetras = {frozenset(m) for _, _, m in lat.tetras}
     assert moves and all({frozenset(p[s] for s in t) for t in tetras} == tetras for p in moves)
     assert len(group(symmetries(lat))) == 4
+    cube = pyrochlore((2, 0, 0), (0, 2, 0), (0, 0, 2))
+    turn, mirror = ((0, 1, 0), (0, 0, 1), (1, 0, 0)), ((0, 1, 0), (1, 0, 0), (0, 0, 1))
+    moves = symmetries(cube, translations=False, linear=(turn, mirror))
+    assert len(moves) == 2 and len(group(moves)) == 6
 
 
 def test_deleted_sites_and_permutations():
