@@ -260,7 +260,10 @@ def runs(sorted_columns: list[np.ndarray]) -> np.ndarray:
 
 def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows, in order of the first column, then the next, with their sums."""
-    order = np.lexsort(columns[::-1])
+    keys = columns
+    if len(columns) == 3 and len(counts) and max(int(columns[0].max()), 1) * (int(columns[1].max()) + 1) < 2**62:
+        keys = [columns[0] * (int(columns[1].max()) + 1) + columns[1], columns[2]]
+    order = np.lexsort(keys[::-1])
     columns = [c[order] for c in columns]
     at = runs(columns)
     return [c[at] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts
@@ -344,26 +347,27 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
 
     def count_trigrams(batches):
         words = Vocabulary(folder, sizes)
-        held, size = [], 0
-
-        def flush():
-            cols, c = summed([np.concatenate([x[i] for x in held]) for i in range(3)], np.concatenate([x[3] for x in held]))
-            return _packed(context_shard(cols[0], cols[1], n), [x.astype(wide) for x in cols], c)
-
         for _, _, hashes, number, counts in chunks(batches):
-            ids = words.lookup(hashes)[0][number]
-            w0, w1 = contexts(ids, counts, words.size)
+            # A chunk's words by rank, in order of their ids: three ranks fit in 63 bits and sort as the ids do.
+            ids = words.lookup(hashes)[0]
+            order = np.argsort(ids)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            own, begin = rank[number], len(order)
+            w0, w1 = contexts(own, counts, begin)
             # An end is followed by the next begin, so that pairs that end a text count too.
             last = np.cumsum(counts) - 1
-            w0, w1, ids = np.append(w0, w1[last]), np.append(w1, ids[last]), np.append(ids, np.full(len(last), words.size))
-            (a, b, c), k = summed([w0, w1, ids], np.ones(len(ids), np.int64))
-            held.append((a, b, c, k))
-            size += len(a)
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+            w0, w1, own = np.append(w0, w1[last]), np.append(w1, own[last]), np.append(own, np.full(len(last), begin))
+            name = np.append(ids[order], words.size)
+            if begin < 2_000_000:
+                key = np.sort((w0 * (begin + 1) + w1) * (begin + 1) + own)
+                at = runs([key])
+                times, key = np.diff(np.append(at, len(key))), key[at]
+                a, b, c = key // (begin + 1) ** 2, key // (begin + 1) % (begin + 1), key % (begin + 1)
+            else:  # one text has more distinct words than that
+                (a, b, c), times = summed([w0, w1, own], np.ones(len(own), np.int64))
+            a, b, c = name[a], name[b], name[c]
+            yield _packed(context_shard(a, b, n), [x.astype(wide) for x in (a, b, c)], times)
 
     def write_trie(table: pa.Table) -> pa.Table:
         s, words = table.column("shard")[0].as_py(), Vocabulary(folder, sizes)
