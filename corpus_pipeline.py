@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinmill.llm import decontam, linededup, mixing, quality, simhash
-from spinmill.llm.common import shared_dir, table
+from spinmill.llm.common import scratch, table
 from spinmill.llm.queries import trusted_ids
 
 
@@ -59,7 +57,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over all that its predecessor kept, from documents on."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

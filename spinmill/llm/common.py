@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,22 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. Results are read from it lazily, so it stays until clear()."""
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch folders that this process has made; for when its results have been written."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared folder, where a lost executor can't take it along."""
     shared_dir(df.sparkSession)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, shared_dir
+from .common import alnum_words, scratch
 
 WINDOW = 10
 #: Documents in a segment of the index.
@@ -147,7 +146,7 @@ def index(docs: DataFrame, vocabulary: frozenset[bytes] | None, id_col: str = "d
 
     kind = src.schema["id"].dataType.simpleString()
     made = src.mapInArrow(run, f"ids array<{kind}>, counts binary, firsts binary, terms binary, starts binary, positions binary")
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     made.write.parquet(path)
     return spark.read.parquet(path)
 

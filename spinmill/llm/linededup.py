@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, shared_dir, text_bytes
+from .common import scratch, settled, text_bytes
 
 #: A line of fewer words is only held against equal lines: one word in five may differ.
 MIN_WORDS = 5
@@ -176,7 +175,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     src = _rows(docs, id_col, text_col)
-    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    folder = scratch(spark, "lines")
     _lines(src).write.parquet(f"{folder}/all")
     every = spark.read.parquet(f"{folder}/all")
     place = F.struct("id", "t", "no")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ws_words
+from .common import scratch, ws_words
 
 #: Tokens of training text for each shard, so that a shard's size doesn't grow with the corpus.
 SHARD_TOKENS = 2_000_000
@@ -314,7 +314,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
     src = docs.select(F.col(text_col).alias("text"))
     row = src.agg(F.count("*").alias("docs"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).first()
     n = max(1, math.ceil((row["bytes"] or 0) / 6 / shard_tokens))
-    folder = f"{local_path(shared_dir(spark))}/trie-{uuid.uuid4().hex}"
+    folder = local_path(scratch(spark, "trie"))
 
     def count_words(batches):
         held, size = [], 0

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, shared_dir, text_bytes
+from .common import scratch, settled, shared_dir, text_bytes
 from .ngram_lm import local_path
 
 LENGTH = 400
@@ -357,7 +357,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = local_path(shared_dir(spark))
-    folder = f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
+    folder = scratch(spark, "suffixes")
     kind = docs.schema["id"].dataType.simpleString()
 
     def cut(batches):
