@@ -54,6 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+def pinned(c: Column) -> Column:
+    """c, computed where it stands. A filter above would else be pushed below it with a copy of c for each use, and a
+    copy inside a lambda is computed for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 _scratch: list[str] = []
 
 

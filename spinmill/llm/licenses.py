@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ANY_CASE_WORD, LOWER, UPPER, whole
+from .common import ANY_CASE_WORD, LOWER, UPPER, pinned, whole
 
 # The contract's phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -126,6 +126,6 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_words", F.regexp_count(whole("__text"), F.lit(ANY_CASE_WORD)).cast("long"))
     words = F.regexp_extract_all(F.translate(whole("__text"), UPPER, LOWER), F.lit(ANY_CASE_WORD), F.lit(0))
     df = df.withColumn("__norm", F.when(passes, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(F.lit("")))
-    df = df.withColumn("__found", F.when(F.length("__norm") > 2, F.expr(found)).otherwise(F.expr(f"cast(array() as {kind})")))
-    df = df.withColumn("detections", F.when(F.size("__found") > 0, F.expr(kept)).otherwise(F.expr(f"cast(array() as {kind})")))
+    df = df.withColumn("__found", pinned(F.when(F.length("__norm") > 2, F.expr(found)).otherwise(F.expr(f"cast(array() as {kind})"))))
+    df = df.withColumn("detections", pinned(F.when(F.size("__found") > 0, F.expr(kept)).otherwise(F.expr(f"cast(array() as {kind})"))))
     return df.withColumn("n_base", F.size(F.filter("__found", lambda x: x["base"])).cast("long")).drop("__text", "__norm", "__found")

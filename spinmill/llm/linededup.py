@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, settled, text_bytes
+from .common import pinned, scratch, settled, text_bytes
 
 #: A line of fewer words is only held against equal lines: one word in five may differ.
 MIN_WORDS = 5
@@ -203,7 +203,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = rows.join(gone, F.col("__id").eqNullSafe(F.col("g_id")) & (F.col("__t") == F.col("g_t")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
-    out = out.withColumn("__parts", parts)
+    out = out.withColumn("__parts", pinned(parts))
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__parts", i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter("__parts", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in had], n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))

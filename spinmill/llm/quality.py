@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_WORD, settled, whole
+from .common import WS_WORD, pinned, settled, whole
 
 #: Hash buckets of each multinomial: its table has this many doubles, whatever the input.
 BUCKETS = 1 << 14
 #: A document below this mean log ratio (nats a feature, trusted against raw) is rejected.
-MIN_RATIO = -0.15
+MIN_RATIO = -0.08
 #: Ids of trusted documents up to which they are broadcast; beyond, documents and ids are shuffled together.
 MOST_BROADCAST = 1_000_000
 #: Added to each bucket's count.
@@ -73,15 +73,15 @@ def quality_rules(
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WS_WORD))
     windows = F.transform(F.slice(hw, F.lit(1), F.greatest(n - 2, F.lit(0)).cast("int")), lambda x, i: F.struct(F.xxhash64(x, F.get(hw, i + 1), F.get(hw, i + 2)).alias("h"), i.alias("i")))
     df = df.withColumns({
-        "__lines": lines,
-        "__win": F.array_sort(windows),
+        "__lines": pinned(lines),
+        "__win": pinned(F.array_sort(windows)),
         "__sum": F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")), F.lit(0.0), lambda acc, i: acc
             + F.coalesce(F.get("__ratio", _uni(F.get(hw, i), buckets)), F.lit(0.0))
             + F.coalesce(F.get("__ratio", _bi(F.get(hw, i), F.get(hw, i + 1), buckets)), F.lit(0.0))),
     })
     win = F.col("__win")
     same = lambda x, k: F.coalesce(F.get(win, k)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("__at", F.array_sort(F.transform(F.filter(win, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
+    df = df.withColumn("__at", pinned(F.array_sort(F.transform(F.filter(win, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))))
     at = F.col("__at")
     df = df.withColumns({
         "n_words": n,
