@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinmill.llm import decontam, linededup, mixing, quality, simhash
-from spinmill.llm.common import scratch, table
+from spinmill.llm import decontam, linededup, mixing, quality, shingles
+from spinmill.llm.common import scratch, settled, table
 from spinmill.llm.queries import trusted_ids
 
 
@@ -28,10 +28,23 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of each row's own, written so that it stays the same."""
+    path = scratch(spark, "rows")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    return without(docs, groups.where("doc_id <> component_id"))
+    """The first row of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more.
+
+    First by doc_id, nulls last; of equal ids, the first as written.
+    """
+    rows = numbered(spark, docs)
+    groups = settled(rows.select("__row", "doc_id").join(shingles.near_groups(rows, "__row"), "__row"))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "__row")).alias("x")).select("x.__row")
+    gone = groups.join(first, "__row", "left_anti").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

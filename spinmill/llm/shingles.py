@@ -1,0 +1,206 @@
+"""Near-duplicates by word shingles: every pair above a Jaccard threshold by prefix filtering, verified, and components."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import partitions, scratch, settled, ws_words
+from .simhash import components, shingle_hashes
+
+SHINGLE, THRESHOLD = 5, 0.8
+#: Buckets of the shingle counts that give the order of prefixes; any order is right, rarer shingles first are quick.
+COUNTS = 1 << 16
+#: Pairs that a task emits at once.
+MOST_PAIRS = 1_000_000
+
+
+def shingle_set(value, n: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(ws_words(value), n), np.uint64))
+
+
+def node_of(own: np.ndarray) -> int:
+    """A signed number for a set; texts of one set are one node."""
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def prefix_length(n: int, threshold: float) -> int:
+    """Of two sets within the threshold, the first so many in any common order share one at least."""
+    return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
+
+
+def overlap(a, b, threshold: float):
+    """Members that sets of a and b members must share to be within the threshold."""
+    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+
+
+def _whole_groups(batches, column: str, least: int = 30_000):
+    """Batches sorted by column, cut where it changes, of at least so many rows but for the last."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        x = table.column(column).to_numpy()
+        change = np.flatnonzero(x[1:] != x[:-1]) + 1
+        if len(change):
+            yield table.slice(0, int(change[-1]))
+            table = table.slice(int(change[-1]))
+        held = table.combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _bounds(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]))
+
+
+def _nodes(src: DataFrame, folder: str, shingle: int) -> DataFrame:
+    """id, node, n of each row, and bucket, count of its shingles, of each task; one table."""
+
+    def run(batches):
+        counts = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            node, n = [], []
+            for value in batch.column("text"):
+                own = shingle_set(value.as_py(), shingle)
+                node.append(node_of(own))
+                n.append(len(own))
+                np.add.at(counts, (own & np.uint64(COUNTS - 1)).astype(np.int64), 1)
+            none = pa.nulls(len(node), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), none, none], ["id", "node", "n", "bucket", "count"])
+        used = np.flatnonzero(counts)
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used, pa.int64()), pa.array(counts[used])], ["id", "node", "n", "bucket", "count"])
+
+    src.mapInArrow(run, "id bigint, node bigint, n bigint, bucket bigint, count bigint").write.parquet(f"{folder}/nodes")
+    return src.sparkSession.read.parquet(f"{folder}/nodes")
+
+
+def _met(src: DataFrame, order: np.ndarray, folder: str, shingle: int, threshold: float) -> DataFrame:
+    """key, node, n, at (place of the key in the node's prefix), centre (a node of the key): keys of several nodes."""
+    spark = src.sparkSession
+    rank = spark.sparkContext.broadcast(order)
+
+    def emit(batches):
+        for batch in batches:
+            key, node, n, at = [], [], [], []
+            for value in batch.column("text"):
+                own = shingle_set(value.as_py(), shingle)
+                p = prefix_length(len(own), threshold)
+                first = own[np.lexsort((own, rank.value[(own & np.uint64(COUNTS - 1)).astype(np.int64)]))[:p]]
+                key.append(first.view(np.int64))
+                node.append(np.full(p, node_of(own)))
+                n.append(np.full(p, len(own)))
+                at.append(np.arange(p))
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (key, node, n, at)], ["key", "node", "n", "at"])
+
+    def meet(batches):
+        for t in _whole_groups(batches, "key"):
+            key, node, n, at = (t.column(c).to_numpy() for c in ("key", "node", "n", "at"))
+            # Rows of one set are one node.
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node, n, at = (x[new] for x in (key, node, n, at))
+            b = _bounds(key)
+            size = np.diff(b)
+            mixed = (node ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            best = np.lexsort((mixed, np.repeat(np.arange(len(size)), size)))[b[:-1]]
+            centre, keep = np.repeat(node[best], size), np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, n, at, centre)], ["key", "node", "n", "at", "centre"])
+
+    rows = src.select("text").mapInArrow(emit, "key bigint, node bigint, n bigint, at bigint")
+    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
+    rows.mapInArrow(meet, "key bigint, node bigint, n bigint, at bigint, centre bigint").write.parquet(f"{folder}/met")
+    return spark.read.parquet(f"{folder}/met")
+
+
+def _crossing(met: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of a key that aren't in one component yet and may share enough from the key on.
+
+    A pair's first common key passes the bound if the pair is within the threshold, so none is lost.
+    """
+    named = met.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    named = named.join(open_keys, "key", "left_semi").repartition(partitions(met.sparkSession), "key").sortWithinPartitions("key", "n")
+
+    def run(batches):
+        for t in _whole_groups(batches, "key"):
+            key, node, n, at, root = (t.column(c).to_numpy() for c in ("key", "node", "n", "at", "root"))
+            b, out, held = _bounds(key), [], 0
+            for lo, hi in zip(b[:-1], b[1:]):
+                for i in range(lo, hi - 1):
+                    # By size: those beyond n / threshold are too large.
+                    end = lo + int(np.searchsorted(n[lo:hi], n[i] / threshold + 1e-9, "right"))
+                    j = np.arange(i + 1, end)
+                    j = j[(root[j] != root[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap(n[i], n[j], threshold))]
+                    if len(j):
+                        out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+                        held += len(j)
+                    if held > MOST_PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+
+    return named.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _verified(pairs: DataFrame, src: DataFrame, firsts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Those pairs whose sets' Jaccard similarity is at least the threshold. firsts: node, id of a row that has it."""
+    pairs = settled(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(firsts, "node")
+
+    def sets(batches):
+        for batch in batches:
+            own = [shingle_set(v.as_py(), shingle).tobytes() for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
+
+    def check(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both + 1e-9 >= threshold * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    made = settled(src.join(wanted, "id").select("node", "text").mapInArrow(sets, "node bigint, own binary"))
+    both = pairs.join(made.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(made.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    return settled(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """id_col (a bigint, different for each row) and group: rows linked by a Jaccard similarity of word shingles of at
+    least threshold, over others too.
+
+    Texts of fewer words are one shingle; those without a word are alike. Links to one node of each prefix key come
+    first, so that a large group of copies is joined by about as many pairs as it has rows; what is still apart is then
+    compared by all pairs that the prefixes and sizes allow.
+    """
+    spark = docs.sparkSession
+    folder = scratch(spark, "shingles")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    told = _nodes(src, folder, shingle)
+    rows = told.where("node is not null").select("id", "node", "n")
+    order = np.zeros(COUNTS, np.int64)
+    for r in told.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("c")).collect():  # COUNTS rows at most
+        order[r["bucket"]] = r["c"]
+    firsts = settled(rows.groupBy("node").agg(F.min("id").alias("id")))
+    met = _met(src, order, folder, shingle, threshold)
+    stars = met.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = _verified(stars, src, firsts, shingle, threshold)
+    labels = components(links)
+    labels = settled(labels.union(labels.select(F.col("root").alias("node"), "root").distinct()))
+    more = _verified(_crossing(met, labels, threshold), src, firsts, shingle, threshold)
+    labels = components(links.union(more))
+    named = rows.join(labels, "node", "left")
+    return named.select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("group"))
