@@ -9,8 +9,10 @@ from .common import WS_WORD, pinned, settled, whole
 
 #: Hash buckets of each multinomial: its table has this many doubles, whatever the input.
 BUCKETS = 1 << 14
-#: A document below this mean log ratio (nats a feature, trusted against raw) is rejected.
+#: A document below this log_ratio (nats a feature, trusted against raw) is rejected.
 MIN_RATIO = -0.08
+#: How far below the lowest trusted document, scored without its own counts, a document may lie, as a multiple.
+SLACK = 1.5
 #: Ids of trusted documents up to which they are broadcast; beyond, documents and ids are shuffled together.
 MOST_BROADCAST = 1_000_000
 #: Added to each bucket's count.
@@ -33,26 +35,69 @@ def _bi(a: Column, b: Column, buckets: int) -> Column:
     return F.shiftrightunsigned(mixed, 11).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
+def _features(buckets: int) -> Column:
+    """Buckets of a document's words and pairs."""
+    hw = F.col("__hw")
+    return F.concat(
+        F.transform(hw, lambda x: _uni(x, buckets)),
+        F.transform(F.slice(hw, F.lit(2), F.greatest(F.size(hw) - 1, F.lit(0))), lambda x, i: _bi(F.get(hw, i), x, buckets)),
+    )
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with `__ratio`, an array of log(p_trusted / p_raw) by bucket.
+    """One row with `__ratio`, an array of log(p_trusted / p_raw) by bucket; the counts as `__raw`, `__trusted`, `__nr`, `__ng`.
 
     docs has __id and __text; trusted has __id, distinct. The counts come from every document; a row for each bucket
     is the most that meets in one task.
     """
     good = trusted.select("__id", F.lit(1).alias("__good"))
     marked = docs.join(F.broadcast(good) if trusted.count() <= MOST_BROADCAST else good.hint("merge"), "__id", "left")
-    hw = F.col("__hw")
-    both = F.concat(
-        F.transform(hw, lambda x: _uni(x, buckets)),
-        F.transform(F.slice(hw, F.lit(2), F.greatest(F.size(hw) - 1, F.lit(0))), lambda x, i: _bi(F.get(hw, i), x, buckets)),
-    )
-    counted = _hashed(marked).select(F.explode(both).alias("b"), F.coalesce("__good", F.lit(0)).alias("g"))
+    counted = _hashed(marked).select(F.explode(_features(buckets)).alias("b"), F.coalesce("__good", F.lit(0)).alias("g"))
     counted = counted.groupBy("b").agg(F.count("*").alias("raw"), F.sum("g").alias("good"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left").na.fill(0, ["raw", "good"])
     one = full.agg(F.sum("raw").alias("nr"), F.sum("good").alias("ng"), F.array_sort(F.collect_list(F.struct("b", "raw", "good"))).alias("t"))
     p = lambda c, n: (c + F.lit(ALPHA)) / (n + F.lit(ALPHA * buckets))
     ratio = F.transform("t", lambda x: F.log(p(x["good"], F.col("ng")) / p(x["raw"], F.col("nr"))))
-    return one.select(F.when(F.col("ng") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("__ratio"))
+    return one.select(
+        F.when(F.col("ng") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("__ratio"),
+        F.transform("t", lambda x: x["raw"]).alias("__raw"), F.transform("t", lambda x: x["good"]).alias("__trusted"),
+        F.col("nr").alias("__nr"), F.col("ng").alias("__ng"),
+    )
+
+
+def _repeats(df: DataFrame) -> DataFrame:
+    """df of _hashed with n_repeat_words: words inside a three-word window that occurs twice."""
+    n, hw = F.col("__n"), F.col("__hw")
+    windows = F.transform(F.slice(hw, F.lit(1), F.greatest(n - 2, F.lit(0)).cast("int")), lambda x, i: F.struct(F.xxhash64(x, F.get(hw, i + 1), F.get(hw, i + 2)).alias("h"), i.alias("i")))
+    df = df.withColumn("__win", pinned(F.array_sort(windows)))
+    win, at = F.col("__win"), F.col("__at")
+    same = lambda x, k: F.coalesce(F.get(win, k)["h"] == x["h"], F.lit(False))
+    df = df.withColumn("__at", pinned(F.array_sort(F.transform(F.filter(win, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))))
+    return df.withColumn("n_repeat_words", F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x).cast("long"))
+
+
+def _fails(n: Column) -> Column:
+    return (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
+
+
+def lowest_left_out(docs: DataFrame, trusted: DataFrame, ratio: DataFrame, buckets: int = BUCKETS) -> float | None:
+    """The lowest mean log ratio of a trusted document that passes the base rules, with its own counts taken out of the
+    trusted ones: as it would be scored if it were not among them. None if there is no such document.
+
+    docs and trusted as for log_ratios; ratio: its row.
+    """
+    own = docs.join(F.broadcast(trusted) if trusted.count() <= MOST_BROADCAST else trusted.hint("merge"), "__id")
+    own = _hashed(own).where(F.col("__n") >= 50)
+    own = own.withColumn("__f", pinned(F.sort_array(_features(buckets))))
+    f, m = F.col("__f"), F.size("__f")
+    # Places in the sorted features where another bucket begins; the next place less it is the bucket's count.
+    own = _repeats(own).where(~_fails(F.col("__n"))).withColumn("__starts", pinned(F.filter(F.sequence(F.lit(0), m - 1), lambda i: (i == 0) | (F.get(f, i) != F.get(f, i - 1)))))
+    starts = F.col("__starts")
+    own = own.withColumn("__runs", pinned(F.transform(starts, lambda i, j: F.struct(F.get(f, i).alias("b"), (F.coalesce(F.get(starts, j + 1), m) - i).alias("c")))))
+    own = own.crossJoin(F.broadcast(ratio.select("__raw", "__trusted", "__nr", "__ng")))  # one row of fixed length
+    total = F.aggregate("__runs", F.lit(0.0), lambda a, x: a + x["c"] * F.log((F.get("__trusted", x["b"]) - x["c"] + F.lit(ALPHA)) / (F.get("__raw", x["b"]) + F.lit(ALPHA))))
+    mean = total / m - F.log((F.col("__ng") - m + F.lit(ALPHA * buckets)) / (F.col("__nr") + F.lit(ALPHA * buckets)))
+    return own.agg(F.min(mean)).first()[0]
 
 
 def quality_rules(
@@ -63,33 +108,35 @@ def quality_rules(
     trusted: a table with `id_col`, the documents of the target distribution. Null and empty texts have no words, fail
     the base rules and have a log_ratio of 0. A row with a null id is never trusted; each repeated row is judged by
     itself, alike. Columns of docs with the names above are replaced. With no trusted document, ratios are 0.
+
+    log_ratio is the mean log ratio of the features with p_trusted drawn towards p_raw (p_trusted^w * p_raw^(1-w), so w
+    times the ratio). Words that trusted documents happen to lack score below zero whatever their quality, the more the
+    fewer trusted documents use them; w is such that SLACK times the lowest trusted document's score without its own
+    counts is not below min_ratio, and 1 where it isn't anyway, or where min_ratio isn't negative.
     """
     ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    ratio = settled(log_ratios(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), ids, buckets))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    ratio = settled(log_ratios(texts, ids, buckets))
+    low = lowest_left_out(texts, ids, ratio, buckets) if min_ratio < 0 else None
+    weight = 1.0 if low is None or SLACK * low >= min_ratio else min_ratio / (SLACK * low)
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"]
     had = [c for c in docs.columns if c not in out]
-    df = _hashed(docs.select(*had, F.col(text_col).alias("__text"))).crossJoin(F.broadcast(ratio))  # one row of fixed length
+    df = _hashed(docs.select(*had, F.col(text_col).alias("__text"))).crossJoin(F.broadcast(ratio.select("__ratio")))  # one row of fixed length
     n, hw, text = F.col("__n"), F.col("__hw"), whole("__text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WS_WORD))
-    windows = F.transform(F.slice(hw, F.lit(1), F.greatest(n - 2, F.lit(0)).cast("int")), lambda x, i: F.struct(F.xxhash64(x, F.get(hw, i + 1), F.get(hw, i + 2)).alias("h"), i.alias("i")))
     df = df.withColumns({
         "__lines": pinned(lines),
-        "__win": pinned(F.array_sort(windows)),
         "__sum": F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")), F.lit(0.0), lambda acc, i: acc
             + F.coalesce(F.get("__ratio", _uni(F.get(hw, i), buckets)), F.lit(0.0))
             + F.coalesce(F.get("__ratio", _bi(F.get(hw, i), F.get(hw, i + 1), buckets)), F.lit(0.0))),
     })
-    win = F.col("__win")
-    same = lambda x, k: F.coalesce(F.get(win, k)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("__at", pinned(F.array_sort(F.transform(F.filter(win, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))))
-    at = F.col("__at")
+    df = _repeats(df)
     df = df.withColumns({
         "n_words": n,
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x).cast("long"),
-        "log_ratio": F.when(n > 0, F.col("__sum") / (2 * n - 1)).otherwise(0.0),
+        "log_ratio": F.when(n > 0, F.lit(weight) * F.col("__sum") / (2 * n - 1)).otherwise(0.0),
     })
-    df = df.withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
+    df = df.withColumn("base_failed", _fails(n))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= F.lit(min_ratio))).select(*had, *out)
