@@ -22,10 +22,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't among ids; a null is an id like another."""
-    ids = ids.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+def without(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
+    """docs whose `by` isn't among ids; a null is an id like another."""
+    ids = ids.select(F.col(by).alias("gone")).distinct()
+    return docs.join(ids, docs[by].eqNullSafe(ids["gone"]), "left_anti")
 
 
 def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -44,13 +44,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = settled(rows.select("__row", "doc_id").join(shingles.near_groups(rows, "__row"), "__row"))
     first = groups.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "__row")).alias("x")).select("x.__row")
     gone = groups.join(first, "__row", "left_anti").select("__row")
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    return without(rows, gone, "__row").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontam.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("n_hit > 0"))
+    """Rows without a passage of the benchmark, each judged by itself, whatever its doc_id."""
+    rows = numbered(spark, docs)
+    found = decontam.contamination(rows.select("__row", "text"), table(spark, sf_dir, "benchmark"), "__row")
+    return without(rows, found.where("n_hit > 0"), "__row").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
