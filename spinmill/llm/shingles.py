@@ -86,7 +86,8 @@ def _nodes(src: DataFrame, folder: str, shingle: int) -> DataFrame:
 
 
 def _met(src: DataFrame, order: np.ndarray, folder: str, shingle: int, threshold: float) -> DataFrame:
-    """key, node, n, at (place of the key in the node's prefix), centre (a node of the key): keys of several nodes."""
+    """key, node, n, at (place of the key in the node's prefix), centre (a node of the key that may
+    share enough, or the node itself): keys of several nodes."""
     spark = src.sparkSession
     rank = spark.sparkContext.broadcast(order)
 
@@ -112,9 +113,11 @@ def _met(src: DataFrame, order: np.ndarray, folder: str, shingle: int, threshold
             key, node, n, at = (x[new] for x in (key, node, n, at))
             b = _bounds(key)
             size = np.diff(b)
-            mixed = (node ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # one centre for most keys of a group
             best = np.lexsort((mixed, np.repeat(np.arange(len(size)), size)))[b[:-1]]
-            centre, keep = np.repeat(node[best], size), np.repeat(size > 1, size)
+            c, keep = np.repeat(best, size), np.repeat(size > 1, size)
+            near = np.minimum(n - at, n[c] - at[c]) >= overlap(n, n[c], threshold)
+            centre = np.where(near, node[c], node)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, n, at, centre)], ["key", "node", "n", "at", "centre"])
 
     rows = src.select("text").mapInArrow(emit, "key bigint, node bigint, n bigint, at bigint")
@@ -157,6 +160,8 @@ def _crossing(met: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
 def _verified(pairs: DataFrame, src: DataFrame, firsts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Those pairs whose sets' Jaccard similarity is at least the threshold. firsts: node, id of a row that has it."""
     pairs = settled(pairs)
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(firsts, "node")
 
     def sets(batches):
