@@ -69,11 +69,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _scratch[-1]
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all scratch folders that this process has made; for when its results have been written."""
     while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        dropped(spark, _scratch[-1])
 
 
 def settled(df: DataFrame) -> DataFrame:

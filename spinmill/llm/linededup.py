@@ -9,12 +9,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, scratch, settled, text_bytes
+from .common import dropped, pinned, scratch, settled, text_bytes
 
 #: A line of fewer words is only held against equal lines: one word in five may differ.
 MIN_WORDS = 5
-#: Above this many words, a line emits its variants only if another line shares half of it.
-LONG = 32
+#: Lines of candidates, or lines to remove, up to which they are broadcast to the documents; beyond, both are shuffled.
+MOST_BROADCAST = 1_000_000
 #: Odd, so that it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -101,11 +101,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """id, t, no, k1, k2 (hash of the line's words), m (words), halves; a row for each line with a word."""
+    """id, t, no, k1, k2 (hash of the line's words), halves (from MIN_WORDS words on); a row for each line with a word."""
 
     def run(batches):
         for batch in batches:
-            take, no, k1, k2, ms, hv = [], [], [], [], [], []
+            take, no, k1, k2, hv = [], [], [], [], []
             for i, value in enumerate(batch.column("text")):
                 for j, line in enumerate(text_bytes(value.as_py()).split(b"\n")):
                     words = line.split()
@@ -116,13 +116,12 @@ def _lines(docs: DataFrame) -> DataFrame:
                     no.append(j)
                     k1.append((d >> 64) - (1 << 63))
                     k2.append((d & ((1 << 64) - 1)) - (1 << 63))
-                    ms.append(len(words))
-                    hv.append(halves(words) if len(words) >= LONG else None)
+                    hv.append(halves(words) if len(words) >= MIN_WORDS else None)
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("t").take(at), pa.array(no, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ms, pa.int32()), pa.array(hv, pa.list_(pa.int64()))], ["id", "t", "no", "k1", "k2", "m", "halves"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("t").take(at), pa.array(no, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(hv, pa.list_(pa.int64()))], ["id", "t", "no", "k1", "k2", "halves"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, t bigint, no int, k1 bigint, k2 bigint, m int, halves array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, t bigint, no int, k1 bigint, k2 bigint, halves array<bigint>")
 
 
 def near_lines(lines: DataFrame, folder: str) -> DataFrame:
@@ -149,6 +148,7 @@ def near_lines(lines: DataFrame, folder: str) -> DataFrame:
 
     lines.mapInArrow(emit, "key bigint, place bigint, ord bigint").write.parquet(f"{folder}/variants")
     keyed = lines.sparkSession.read.parquet(f"{folder}/variants")
+    # The aggregate is combined before its exchange, and the join's keys may repeat: a key of very many lines is split.
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("place") < 0, F.col("ord"))).alias("full"), F.min(F.when(F.col("place") >= 0, F.col("ord"))).alias("short")).where("n > 1")
     met = settled(keyed.join(shared, "key"))
     at_place = met.where("place >= 0").groupBy("key", "place").agg(F.min("ord").alias("alike"))
@@ -179,31 +179,45 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     _lines(src).write.parquet(f"{folder}/all")
     every = spark.read.parquet(f"{folder}/all")
     place = F.struct("id", "t", "no")
-    lines = every.groupBy("k1", "k2").agg(F.min(place).alias("own"), F.count("*").alias("n"), F.max("m").alias("m"), F.max("halves").alias("halves"))
-    lines = lines.repartitionByRange("own").sortWithinPartitions("own").withColumn("ord", F.monotonically_increasing_id())
+    lines = every.groupBy("k1", "k2").agg(F.min(place).alias("own"), F.count("*").alias("n"), F.max("halves").alias("halves"))
     lines.write.parquet(f"{folder}/distinct")
     lines = spark.read.parquet(f"{folder}/distinct")
 
-    half = lines.where(F.col("m") >= LONG).select("ord", F.explode("halves").alias("half"))
-    met = half.join(half.groupBy("half").count().where("count > 1"), "half", "left_semi").select("ord").distinct()
-    short = lines.where((F.col("m") >= MIN_WORDS) & (F.col("m") <= LONG)).select("ord")
-    wanted = lines.join(short.union(met), "ord", "left_semi")
+    # Only lines that share half with another can be a word apart from one.
+    half = lines.select(F.explode("halves").alias("half"), "k1", "k2")
+    met = half.join(half.groupBy("half").count().where("count > 1"), "half", "left_semi").select("k1", "k2").distinct()
+    wanted = lines.select("k1", "k2", "own").join(met, ["k1", "k2"], "left_semi")
+    wanted.repartitionByRange("own").sortWithinPartitions("own").withColumn("ord", F.monotonically_increasing_id()).write.parquet(f"{folder}/wanted")
+    wanted = spark.read.parquet(f"{folder}/wanted")
     by_doc = wanted.groupBy("own.id", "own.t").agg(F.collect_list(F.struct(F.col("own.no").alias("no"), "ord")).alias("want"))
+    by_doc = sized(by_doc, wanted.count())
     # Rows alike in id and text give a line twice, with one ord: it has no earlier neighbour in itself.
     held = src.join(by_doc, src["id"].eqNullSafe(by_doc["id"]) & (src["t"] == by_doc["t"])).select("text", F.explode("want").alias("w"))
     held = held.select("w.ord", F.get(F.split("text", "\n", -1), F.col("w.no")).alias("line"))
     held.write.parquet(f"{folder}/candidates")
     near = near_lines(spark.read.parquet(f"{folder}/candidates"), folder).select(F.col("a").alias("ord")).distinct()
+    near = wanted.join(near, "ord", "left_semi").select("k1", "k2", F.lit(True).alias("near"))
+
+    fates = lines.join(near, ["k1", "k2"], "left").where("n > 1 or near").select("k1", "k2", "own", "near")
+    gone = every.drop("halves").join(fates, ["k1", "k2"]).where(F.col("near").isNotNull() | ~place.eqNullSafe(F.col("own")))
+    last = scratch(spark, "gone-lines")
+    gone.groupBy("id", "t").agg(F.collect_set("no").alias("gone")).write.parquet(last)
+    dropped(spark, folder)
+    gone = spark.read.parquet(last)
+    gone = sized(gone, gone.agg(F.sum(F.size("gone"))).first()[0] or 0)
 
-    fates = lines.join(near.withColumn("near", F.lit(True)), "ord", "left").where("n > 1 or near").select("k1", "k2", "own", "near")
-    gone = every.join(fates, ["k1", "k2"]).where(F.col("near").isNotNull() | ~place.eqNullSafe(F.col("own")))
-    gone = gone.groupBy("id", "t").agg(F.collect_set("no").alias("gone")).select(F.col("id").alias("g_id"), F.col("t").alias("g_t"), "gone")
     had = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*had, F.xxhash64(F.col(text_col)).alias("__t"), F.col(id_col).alias("__id"))
-    out = rows.join(gone, F.col("__id").eqNullSafe(F.col("g_id")) & (F.col("__t") == F.col("g_t")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
-    out = out.withColumn("__parts", pinned(parts))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__parts", i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter("__parts", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in had], n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
+    # The caller's columns travel in one struct, so that none can clash with those made here.
+    rows = docs.select(F.struct(*had).alias("row"), F.xxhash64(F.col(text_col)).alias("r_t"), F.col(id_col).alias("r_id"))
+    out = rows.join(gone, F.col("r_id").eqNullSafe(gone["id"]) & (F.col("r_t") == gone["t"]), "left").select("row", "gone")
+    value = F.col("row").getField(text_col)
+    out = out.withColumn("parts", pinned(F.split(value, "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), value).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
+    n_lines = F.when(value.isNull(), 0).otherwise(F.size(F.filter("parts", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    return out.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in had], n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """df, to be broadcast if it holds n lines at most MOST_BROADCAST."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
