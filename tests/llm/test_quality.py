@@ -25,12 +25,43 @@ def base(text):
 def test_base_rules(spark, frame, rows, odd_rows, kind):
     data = (odd_rows + [{**odd_rows[5], "doc_id": 900, "text": "a b a b a b a b c d e a b x\n\n y\ny\n y " * 9}]) if kind == "odd" else rows
     trusted = spark.createDataFrame([(5,), (5,), (9,), (None,)], "doc_id bigint")
-    got = quality.quality_rules(frame(data, extra=("n_words", "ratio", "h", "kept") if kind == "odd" else ()), trusted).collect()
+    got = quality.quality_rules(frame(data, extra=("n_words", "ratio", "h", "kept", "__ratio", "__n", "__hw", "__row", "__text", "b", "g", "x") if kind == "odd" else ()), trusted).collect()
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert sorted(((r["doc_id"], *(r[c] for c in cols)) for r in got), key=str) == sorted(((r["doc_id"], *base(r["text"])) for r in data), key=str)
     assert all(r["kept"] == (not r["base_failed"] and r["log_ratio"] >= quality.MIN_RATIO) for r in got)
 
 
+@pytest.mark.parametrize("bits", [2, 5])
+def test_long_documents_and_meeting_hashes(spark, frame, odd_rows, monkeypatch, bits):
+    """With few bits for places, most documents count as very long."""
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
+    data = odd_rows + [{**odd_rows[5], "doc_id": 900, "text": "a b a b a b a b c d e a b x\n\n y\ny\n y " * 9}, {**odd_rows[5], "doc_id": 901, "text": "p q r s p q r t"}]
+    got = quality.quality_rules(frame(data), spark.createDataFrame([], "doc_id bigint")).collect()
+    assert sorted(((r["doc_id"], r["n_repeat_words"]) for r in got), key=str) == sorted(((r["doc_id"], base(r["text"])[4]) for r in data), key=str)
+
+
+def test_hashes_that_differ_in_the_low_bits(spark):
+    """Windows whose hashes agree but for the bits of their places are still told apart."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([8, 9, 10, 11, 64]) for _ in range(rng.randint(0, 12))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, w array<bigint>")
+    # Hashes of windows are stood in for by the numbers themselves: 8 to 11 agree above the lowest bits.
+    real = F.xxhash64
+    try:
+        F.xxhash64 = lambda a, b: b
+        quality_n = quality._repeats(df.select("id", F.col("w").alias("__hw"), quality._after("w", 1).alias("__pw"), F.size("w").cast("long").alias("__n")))
+        got = {r["id"]: r["n_repeat_words"] for r in quality_n.select("id", "n_repeat_words").collect()}
+    finally:
+        F.xxhash64 = real
+    for i, w in rows:
+        win = w[2:]
+        assert got[i] == len({k + j for k, x in enumerate(win) if win.count(x) > 1 for j in range(3)}), w
+
+
 def test_ratios_tell_junk_from_prose(spark, sf):
     got = op5_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
     good = [r["kept"] for r in got if r["quality"] == 1]
