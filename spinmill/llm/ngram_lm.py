@@ -1,8 +1,9 @@
 """LM scoring by a trie of n-grams in Elias-Fano levels: monotone pointers, quantised probabilities, memory-mapped.
 
-Words are ranks in a vocabulary of sorted 64-bit hashes. A shard of the trie holds the trigrams whose first two words
-hash to it, so that a context's successors stand together and no frequent word draws all to one shard. Shard files lie
-in the shared folder, which executors must be able to map (a mounted path or file: URI).
+Words are ranks in a vocabulary of sorted 64-bit hashes. A shard of the trie holds the trigrams whose first word hashes
+to it; those of a frequent word are dealt out by their first two words, so that it doesn't draw all to one shard. Each
+level points to the range of its successors in the next, in which a word is searched. Shard files lie in the shared
+folder, which executors must be able to map (a mounted path or file: URI).
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from .common import scratch, ws_words
 SHARD_TOKENS = 2_000_000
 #: Tokens that a task counts before it passes sums on, and those it holds as words at a time.
 FLUSH, CHUNK = 1_500_000, 800_000
+#: A word with more than a shard's tokens over this is frequent.
+FREQUENT = 8
+#: Shards that a task keeps open at a time.
+MOST_OPEN = 4096
 #: What is taken off a successor's count of one, of two, and of more, for the shorter context's estimate.
 DISCOUNTS = (0.9, 1.3, 1.5)
 #: Steps of the probabilities' logarithm: 16 bits over 12 decades.
@@ -31,6 +36,90 @@ STEPS, DECADES = 65535, 12.0
 END = xxhash.xxh64_intdigest(b"")
 
 
+_BYTES = np.uint64(0x0101010101010101)
+#: Position of the r-th one in a byte.
+_PLACE = np.array([[([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8).ravel()
+
+
+def select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Position of the r-th (from 0) one in each word, by sums of bytes side by side."""
+    r = r.astype(np.uint64)
+    s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    up = ((r * _BYTES | (_BYTES << np.uint64(7))) - s) & (_BYTES << np.uint64(7))
+    byte = np.minimum(np.bitwise_count(up).astype(np.uint64), np.uint64(7)) << np.uint64(3)
+    r = r - (((s << np.uint64(8)) >> byte) & np.uint64(255))
+    return (byte + _PLACE[(((x >> byte) & np.uint64(255)) << np.uint64(3)) + r]).astype(np.int64)
+
+
+def packed_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """Values side by side in words, with a spare word."""
+    n = len(values)
+    low = np.zeros((n * bits + 63) // 64 + 1, np.uint64)
+    if bits and n:
+        bit = np.arange(n, dtype=np.uint64) * np.uint64(bits)
+        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        np.bitwise_or.at(low, word, values << shift)
+        spill = shift + np.uint64(bits) > 64
+        np.bitwise_or.at(low, word[spill] + 1, values[spill] >> (np.uint64(64) - shift[spill]))
+    return low
+
+
+def unpacked(low: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
+    if not bits:
+        return np.zeros(len(i), np.uint64)
+    bit = i.astype(np.uint64) * np.uint64(bits)
+    word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+    # The next word's part, shifted twice as a shift by 64 is undefined.
+    x = (low[word] >> shift) | ((low[word + 1] << (np.uint64(63) - shift)) << np.uint64(1))
+    return x & np.uint64((1 << bits) - 1)
+
+
+class Words:
+    """Successors of all contexts of a level side by side, each context's in ascending order, in as many bits as ids need."""
+
+    def __init__(self, bits: int, low: np.ndarray):
+        self.bits, self.low = bits, low
+
+    @staticmethod
+    def build(values: np.ndarray) -> dict:
+        bits = int(values.max()).bit_length() if len(values) else 0
+        return {"bits": bits, "low": packed_bits(values.astype(np.uint64), bits)}
+
+    def find(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Where each x stands in its own range, or -1.
+
+        Ids are ranks of hashes, so that a context's successors lie evenly and a guess by proportion is close; every
+        third step halves the range, for those that don't.
+        """
+        lo, hi, x = lo.copy(), hi.copy(), x.astype(np.uint64)
+        some = lo < hi
+        live = np.flatnonzero(hi - lo > 1)
+        under, over = np.zeros(len(live)), np.full(len(live), float(1 << self.bits))
+        step = 0
+        while len(live):
+            a, z, want = lo[live], hi[live], x[live]
+            if step % 3 == 2:
+                mid = (a + z) >> 1
+            else:
+                guess = (z - a) * ((want.astype(np.float64) - under) / np.maximum(over - under, 1.0))
+                mid = np.clip(a + guess.astype(np.int64), a + 1, z - 1)
+            v = unpacked(self.low, self.bits, mid)
+            le = v <= want
+            lo[live] = a = np.where(le, mid, a)
+            hi[live] = z = np.where(v == want, mid + 1, np.where(le, z, mid))
+            on = z - a > 1
+            under, over = np.where(le, v, under)[on], np.where(le, over, v)[on]
+            live = live[on]
+            step += 1
+        out = np.full(len(x), -1, np.int64)
+        c = np.flatnonzero(some)
+        c = c[unpacked(self.low, self.bits, lo[c]) == x[c]]
+        out[c] = lo[c]
+        return out
+
+
 class EliasFano:
     """A non-decreasing sequence of n integers below u: low bits packed, high bits in unary, a directory by word."""
 
@@ -38,20 +127,13 @@ class EliasFano:
         self.n, self.l, self.low, self.high, self.zeros, self.ones = n, low_bits, low, high, zeros, ones
 
     @staticmethod
-    def build(values: np.ndarray) -> dict:
+    def build(values: np.ndarray, low_bits: int | None = None) -> dict:
         values = values.astype(np.uint64)
         n = len(values)
         u = int(values[-1]) + 1 if n else 1
-        low_bits = max(0, (u // max(n, 1)).bit_length() - 1)
-        mask = np.uint64((1 << low_bits) - 1)
-        low = np.zeros((n * low_bits + 63) // 64 + 1, np.uint64)
-        if low_bits and n:
-            bit = np.arange(n, dtype=np.uint64) * np.uint64(low_bits)
-            word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-            part = values & mask
-            np.bitwise_or.at(low, word, part << shift)
-            spill = shift + np.uint64(low_bits) > 64
-            np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (np.uint64(64) - shift[spill]))
+        if low_bits is None:
+            low_bits = max(0, (u // max(n, 1)).bit_length() - 1)
+        low = packed_bits(values & np.uint64((1 << low_bits) - 1), low_bits)
         top = (values >> np.uint64(low_bits)).astype(np.int64)
         size = n + (int(top[-1]) if n else 0) + 2
         bits = np.zeros((size + 63) // 64 * 64, np.uint8)
@@ -66,16 +148,17 @@ class EliasFano:
         base = self.ones if ones else self.zeros
         w = np.searchsorted(base, k.astype(np.uint64), "right") - 1
         r = k - base[w].astype(np.int64)
-        x = self.high[w] if ones else ~self.high[w]
-        at = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            part = x & np.uint64((1 << half) - 1)
-            c = np.bitwise_count(part).astype(np.int64)
-            up = r >= c
-            r = r - np.where(up, c, 0)
-            at += np.where(up, half, 0)
-            x = np.where(up, x >> np.uint64(half), part)
-        return w * 64 + at
+        return w * 64 + select_in_word(self.high[w] if ones else ~self.high[w], r)
+
+    def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and i + 1, of pointers without low bits."""
+        at = self._select(i, True)
+        x = (self.high[at >> 6] >> (at & 63).astype(np.uint64)) >> np.uint64(1)
+        lo = at - i
+        hi = lo + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1))
+        on = np.flatnonzero(x == 0)  # the next one stands in a later word
+        hi[on] = self._select(i[on] + 1, True) - (i[on] + 1)
+        return lo, hi
 
     def _ones_from(self, at: np.ndarray) -> np.ndarray:
         """How many ones stand in a row from each position on."""
@@ -90,14 +173,7 @@ class EliasFano:
         return out
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.l:
-            return np.zeros(len(i), np.uint64)
-        bit = i.astype(np.uint64) * np.uint64(self.l)
-        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        x = self.low[word] >> shift
-        more = shift + np.uint64(self.l) > 64
-        x[more] |= self.low[word[more] + 1] << (np.uint64(64) - shift[more])
-        return x & np.uint64((1 << self.l) - 1)
+        return unpacked(self.low, self.l, i)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at i."""
@@ -176,8 +252,20 @@ def load(path: str) -> dict:
     return {k: raw[n + 8 + v[2] : n + 8 + v[2] + v[1] * np.dtype(v[0]).itemsize].view(v[0]) if isinstance(v, list) else v for k, v in head.items()}
 
 
-def _level(name: str, values: np.ndarray) -> dict:
-    return {f"{name}.{k}": v for k, v in EliasFano.build(values).items()}
+def _level(name: str, values: np.ndarray, low_bits: int | None = None) -> dict:
+    return {f"{name}.{k}": v for k, v in EliasFano.build(values, low_bits).items()}
+
+
+def _words(name: str, values: np.ndarray) -> dict:
+    return {f"{name}.{k}": v for k, v in Words.build(values).items()}
+
+
+def groups(x: np.ndarray):
+    """Each value of x with the places at which it stands."""
+    order = np.argsort(x, kind="stable")
+    at = np.append(runs([x[order]]), len(order))
+    for a, b in zip(at, at[1:]):
+        yield int(x[order[a]]), order[a:b]
 
 
 def _mapped(parts: dict, name: str) -> EliasFano:
@@ -203,11 +291,9 @@ class Vocabulary:
         n = len(self.first) - 1
         if not self.size:
             return ids, counts
-        where = vocabulary_shard(hashes, n)
-        for s in np.unique(where):
+        for s, own in groups(vocabulary_shard(hashes, n)):
             if self.first[s] == self.first[s + 1]:
                 continue
-            own = np.flatnonzero(where == s)
             at = self.shard(int(s))[0].find(hashes[own])
             own, at = own[at >= 0], at[at >= 0]
             ids[own], counts[own] = at + self.first[s], self._counts(int(s), at)
@@ -221,21 +307,21 @@ class Vocabulary:
         """Weight of the unigram after each word, `size` standing for a text's begin; 1 where nothing followed it."""
         out = np.ones(len(ids))
         where = np.searchsorted(self.first, ids, "right") - 1
-        for s in np.unique(where[ids >= 0]):
+        for s, own in groups(where):
+            if s < 0:  # unknown words
+                continue
             if (key := f"back{s}") not in self.open:
                 path = f"{self.folder}/backoff-{s}"
                 self.open[key] = load(path)["q"] if os.path.exists(path) else None
             if self.open[key] is not None:
-                own = np.flatnonzero((where == s) & (ids >= 0))
                 out[own] = restored(self.open[key][ids[own] - self.first[s]])
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
         where = np.searchsorted(self.first, ids, "right") - 1
-        for s in np.unique(where):
-            own = np.flatnonzero(where == s)
-            out[own] = self._counts(int(s), ids[own] - self.first[s])
+        for s, own in groups(where):
+            out[own] = self._counts(s, ids[own] - self.first[s])
         return out
 
 
@@ -243,8 +329,10 @@ def vocabulary_shard(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
-def context_shard(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def context_shard(a: np.ndarray, b: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
+    """By the first word, or by both where that is frequent."""
+    second = np.where(frequent, b.astype(np.uint64) + np.uint64(1), np.uint64(0))
+    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second * np.uint64(0xC2B2AE3D27D4EB4F))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
@@ -342,14 +430,14 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
     sizes = [0] * n
     for r in made:
         sizes[r["shard"]] = r["size"]
-    model = {"folder": folder, "sizes": sizes, "shards": n, "tokens": sum(r["total"] for r in made), "types": sum(sizes), "docs": row["docs"], "steps": steps}
+    model = {"folder": folder, "sizes": sizes, "shards": n, "tokens": sum(r["total"] for r in made), "types": sum(sizes), "docs": row["docs"], "steps": steps, "frequent": shard_tokens // FREQUENT}
     wide = np.uint32 if model["types"] + 1 < 2**32 else np.uint64
 
     def count_trigrams(batches):
         words = Vocabulary(folder, sizes)
         for _, _, hashes, number, counts in chunks(batches):
             # A chunk's words by rank, in order of their ids: three ranks fit in 63 bits and sort as the ids do.
-            ids = words.lookup(hashes)[0]
+            ids, seen = words.lookup(hashes)
             order = np.argsort(ids)
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
@@ -359,6 +447,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
             last = np.cumsum(counts) - 1
             w0, w1, own = np.append(w0, w1[last]), np.append(w1, own[last]), np.append(own, np.full(len(last), begin))
             name = np.append(ids[order], words.size)
+            frequent = np.append(seen[order] > model["frequent"], True)
             if begin < 2_000_000:
                 key = np.sort((w0 * (begin + 1) + w1) * (begin + 1) + own)
                 at = runs([key])
@@ -366,25 +455,24 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
                 a, b, c = key // (begin + 1) ** 2, key // (begin + 1) % (begin + 1), key % (begin + 1)
             else:  # one text has more distinct words than that
                 (a, b, c), times = summed([w0, w1, own], np.ones(len(own), np.int64))
-            a, b, c = name[a], name[b], name[c]
-            yield _packed(context_shard(a, b, n), [x.astype(wide) for x in (a, b, c)], times)
+            often, (a, b, c) = frequent[a], (name[a], name[b], name[c])
+            yield _packed(context_shard(a, b, often, n), [x.astype(wide) for x in (a, b, c)], times)
 
     def write_trie(table: pa.Table) -> pa.Table:
         s, words = table.column("shard")[0].as_py(), Vocabulary(folder, sizes)
         cols = [np.concatenate([unplaned(x.as_py(), wide) for x in table.column(f"c{i}")]).astype(np.int64) for i in range(3)]
         (a, b, c), k = summed(cols, np.concatenate([unplaned(x.as_py(), np.uint32) for x in table.column("n")]).astype(np.int64))
-        # Level 1: first words; 2: second words relative to their first word; 3: third words relative to their pair.
+        # Level 1: first words; 2: second words, in the range that their first word points to; 3: third words, in their pair's.
         pair, first = runs([a, b]), runs([a])
         pair_count = np.add.reduceat(k, pair)
-        rank_a = np.cumsum(np.isin(np.arange(len(a)), first)) - 1
         pair_of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(a))))
-        u = words.size + 1
         off, total = discounts(k, steps), np.add.reduceat(k, pair)
         one = np.full(len(pair), model["docs"], np.int64)
         known = a[pair] < words.size
         one[known] = words.counts(a[pair][known])
         off_pair = discounts(pair_count, steps)
-        parts = _level("a", a[first]) | _level("b", rank_a[pair] * u + b[pair]) | _level("c", pair_of * u + c)
+        parts = _level("a", a[first]) | _level("a.next", np.append(np.searchsorted(pair, first), len(pair)), 0) | _words("b", b[pair])
+        parts |= _level("b.next", np.append(pair, len(a)), 0) | _words("c", c)
         parts |= {"b.q": quantised((pair_count - off_pair) / one), "b.back": quantised(np.add.reduceat(off, pair) / total), "c.q": quantised((k - off) / total[pair_of])}
         save(f"{folder}/trie-{s}", parts)
         # What this shard's pairs leave to the unigram, by first word: sent to the word's shard of the vocabulary.
@@ -433,78 +521,61 @@ class Trie:
 
     def shard(self, s: int) -> dict | None:
         """None if no pair fell into the shard."""
-        if s not in self.open and not os.path.exists(path := f"{self.m['folder']}/trie-{s}"):
-            self.open[s] = None
-        elif s not in self.open:
-            parts = load(path)
-            self.open[s] = {k: _mapped(parts, k) for k in "abc"} | {k: parts[k] for k in ("b.q", "b.back", "c.q")}
+        if s not in self.open:
+            if len(self.open) >= MOST_OPEN:
+                self.open.clear()
+            if not os.path.exists(path := f"{self.m['folder']}/trie-{s}"):
+                self.open[s] = None
+            else:
+                parts = load(path)
+                self.open[s] = {k: _mapped(parts, k) for k in ("a", "a.next", "b.next")} | {k: parts[k] for k in ("b.q", "b.back", "c.q")}
+                self.open[s] |= {k: Words(parts[f"{k}.bits"], parts[f"{k}.low"]) for k in "bc"}
         return self.open[s]
 
     def probabilities(self, hashes, number, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its count in training, the unigram and the trie's log10 probability."""
-        n, v = self.m["tokens"], self.m["types"]
+        n, v, begin = self.m["tokens"], self.m["types"], len(hashes)
         ids, seen = self.words.lookup(hashes)
         after = self.words.backoff(np.append(ids, self.words.size))
         base = (seen + 0.5) / (n + 0.5 * (v + 1))
-        ids, p1, seen = ids[number], base[number], seen[number]
-        w0, w1 = contexts(ids, counts, self.words.size)
-        u = self.words.size + 1
-        # Pairs that end at each token, and the pair before it, which is its context.
-        pair, p2 = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
-        back, where = np.ones(len(ids)), np.full(len(ids), -1, np.int64)
-        known = np.flatnonzero((ids >= 0) & (w1 >= 0))
-        (a, b), inverse = _distinct(w1[known], ids[known], u)
-        rank, q, k, s = self._pairs(a, b, u)
-        pair[known], p2[known], where[known] = rank[inverse], q[inverse], s[inverse]
-        own_back = np.ones(len(ids))
-        own_back[known] = k[inverse]
-        before, shard_before = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
-        before[1:], shard_before[1:], back[1:] = pair[:-1], where[:-1], own_back[:-1]
+        frequent = np.append(seen > self.m["frequent"], True)
+        p1, ids = base[number], np.append(ids, self.words.size)  # by number; the last is a text's begin
+        _, w1 = contexts(number, counts, begin)
         starts = np.cumsum(counts) - counts
-        before[starts] = -1
-        back[starts] = 1.0
-        # A text's first two tokens have the pair (begin, begin), then (begin, first) as context.
-        (rank, _, k, s) = self._pairs(np.array([self.words.size]), np.array([self.words.size]), u)
-        before[starts], shard_before[starts], back[starts] = rank[0], s[0], k[0]
-        p3 = np.zeros(len(ids))
-        live = np.flatnonzero((before >= 0) & (ids >= 0))
-        for x in np.unique(shard_before[live]):
-            own = live[shard_before[live] == x]
-            t = self.shard(int(x))
-            key = before[own] * u + ids[own]
-            distinct, inv = np.unique(key, return_inverse=True)
-            at = t["c"].find(distinct)
-            found = np.where(at >= 0, restored(t["c.q"][np.maximum(at, 0)]) if t["c"].n else 0.0, 0.0)
-            p3[own] = found[inv]
-        leave = np.empty(len(ids))
-        leave[1:] = after[number[:-1]]
-        leave[starts] = after[-1]
-        two = p2 + leave * p1
-        return seen, np.log10(p1), np.log10(np.where(before >= 0, p3 + back * two, two))
-
-    def _pairs(self, a: np.ndarray, b: np.ndarray, u: int):
-        """Rank in its shard's level (-1: none), probability, back-off weight and shard of each pair."""
-        rank, q, back = np.full(len(a), -1, np.int64), np.zeros(len(a)), np.ones(len(a))
-        s = context_shard(a, b, self.m["shards"])
-        for x in np.unique(s):
-            own, t = np.flatnonzero(s == x), self.shard(int(x))
+        first = np.zeros(len(number) + 1, bool)
+        first[starts] = first[-1] = True
+        known = ids[number] >= 0
+        # Pairs that end at a token, which are the next token's contexts; they go to their shard together.
+        live = np.flatnonzero(known & (ids[w1] >= 0))
+        a, b = np.append(w1[live], begin), np.append(number[live], begin)
+        live = np.append(live, -1)  # the last pair, of two begins, is the context of all first tokens
+        where = context_shard(ids[a], ids[b], frequent[a], self.m["shards"])
+        order = np.argsort(where * (begin + 1) + a)
+        at = np.append(runs([where[order]]), len(order))
+        p2, p3, back, met = (np.zeros(len(number)), np.zeros(len(number)), np.ones(len(number)), np.zeros(len(number), bool))
+        for x, y in zip(at, at[1:]):
+            t = self.shard(int(where[order[x]]))
             if t is None:
                 continue
-            begin = runs([a[own]])  # pairs come sorted
-            first = np.repeat(t["a"].find(a[own][begin]), np.diff(np.append(begin, len(own))))
-            own, first = own[first >= 0], first[first >= 0]
-            at = t["b"].find(first * u + b[own])
-            own, at = own[at >= 0], at[at >= 0]
-            rank[own], q[own], back[own] = at, restored(t["b.q"][at]), restored(t["b.back"][at])
-        return rank, q, back, s
-
-
-def _distinct(a: np.ndarray, b: np.ndarray, u: int):
-    if u < 2**31:
-        key, inverse = np.unique(a * u + b, return_inverse=True)
-        return (key // u, key % u), inverse
-    both, inverse = np.unique(np.stack((a, b)), axis=1, return_inverse=True)
-    return (both[0], both[1]), inverse
+            own = order[x:y]
+            new = runs([a[own]])
+            size = np.diff(np.append(new, len(own)))
+            place = t["a"].find(ids[a[own[new]]])
+            lo, hi = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            lo[place >= 0], hi[place >= 0] = t["a.next"].span(place[place >= 0])
+            rank = t["b"].find(np.repeat(lo, size), np.repeat(hi, size), ids[b[own]])
+            own, rank = live[own[rank >= 0]], rank[rank >= 0]
+            p2[own[own >= 0]] = restored(t["b.q"][rank[own >= 0]])
+            follow = np.flatnonzero(~first[own + 1] & (own >= 0))
+            token, rank_of = own[follow] + 1, rank[follow]
+            if (own < 0).any():
+                token, rank_of = np.append(token, starts), np.append(rank_of, np.full(len(starts), rank[own < 0][0]))
+            met[token], back[token] = True, restored(t["b.back"][rank_of])
+            token, rank_of = token[known[token]], rank_of[known[token]]
+            found = t["c"].find(*t["b.next"].span(rank_of), ids[number[token]])
+            p3[token[found >= 0]] = restored(t["c.q"][found[found >= 0]])
+        two = p2 + after[w1] * p1
+        return seen[number], np.log10(p1), np.log10(np.where(met, p3 + back * two, two))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

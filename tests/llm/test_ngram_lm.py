@@ -24,6 +24,32 @@ def test_elias_fano(n, top):
         assert (i >= 0) == (x in have) and (i < 0 or v[i] == x)
 
 
+def test_pointers_and_words():
+    """Ranges of successors, some empty and some longer than a word of bits, and searches within them."""
+    rng = np.random.default_rng(5)
+    sizes = rng.choice([0, 1, 2, 5, 63, 64, 65, 700], 400)
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    e = lm.EliasFano(*(lm.EliasFano.build(edges, 0)[k] for k in ("n", "l", "low", "high", "zeros", "ones")))
+    lo, hi = e.span(np.arange(len(sizes)))
+    assert (lo == edges[:-1]).all() and (hi == edges[1:]).all()
+    for top in (3000, 2**33, 2**40):
+        own = [np.sort(rng.choice(top if top == 3000 else 10**6, k, replace=False).astype(np.uint64) * np.uint64(max(1, top // 10**6))) for k in sizes]
+        w = lm.Words(**lm.Words.build(np.concatenate(own)))
+        for i, v in enumerate(own):
+            q = np.concatenate((v, v + np.uint64(1), [np.uint64(0)]))
+            at = w.find(np.full(len(q), lo[i]), np.full(len(q), hi[i]), q)
+            for x, k in zip(q.tolist(), at.tolist()):
+                assert (k >= 0) == (x in set(v.tolist())) and (k < 0 or v[k - lo[i]] == x)
+
+
+def test_selects():
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.integers(1, 2**63, 500, dtype=np.uint64), [np.uint64(2**64 - 1), np.uint64(1 << 63), np.uint64(1)]))
+    for w in x.tolist():
+        ones = [k for k in range(64) if w >> k & 1]
+        assert lm.select_in_word(np.full(len(ones), w, np.uint64), np.arange(len(ones))).tolist() == ones
+
+
 def tokens(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) + [b""]
 
@@ -107,6 +133,18 @@ def test_distributions_sum_to_one_at_most(spark, frame):
         assert 0.98 < total <= 1 + 1e-9, (context, total)
 
 
+def test_few_shards_kept_open(spark, frame, rows, monkeypatch):
+    df = frame(rows[:30])
+    model = lm.train(df, shard_tokens=500)
+    want = sorted(map(tuple, lm.score(df, model).collect()))
+    monkeypatch.setattr(lm, "MOST_OPEN", 2)
+    trie = lm.Trie(model)
+    for _, first, hashes, number, counts in lm.chunks(df.select("text").toArrow().to_batches()):
+        trie.probabilities(hashes, number, counts)
+        assert len(trie.open) <= 2
+    assert sorted(map(tuple, lm.score(df, model).collect())) == want
+
+
 def test_several_shards_agree(spark, frame, rows):
     df = frame(rows[:40])
     one = {r["doc_id"]: r["score"] for r in lm.score(df, lm.train(df)).collect()}
