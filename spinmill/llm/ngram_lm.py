@@ -262,12 +262,17 @@ def _words(name: str, values: np.ndarray) -> dict:
 
 def groups(x: np.ndarray):
     """Each value of x with the places at which it stands."""
-    order = np.argsort(x, kind="stable")
+    order = by_shard(x)
     at = np.append(runs([x[order]]), len(order))
     for a, b in zip(at, at[1:]):
         yield int(x[order[a]]), order[a:b]
 
 
+def by_shard(x: np.ndarray) -> np.ndarray:
+    """Places in order of x, equal ones as they stand; few shards are sorted by counting."""
+    return np.argsort(x.astype(np.uint16) if len(x) and 0 <= x.min() and x.max() < 1 << 16 else x, kind="stable")
+
+
 def _mapped(parts: dict, name: str) -> EliasFano:
     return EliasFano(*(parts[f"{name}.{k}"] for k in ("n", "l", "low", "high", "zeros", "ones")))
 
@@ -348,10 +353,15 @@ def runs(sorted_columns: list[np.ndarray]) -> np.ndarray:
 
 def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows, in order of the first column, then the next, with their sums."""
-    keys = columns
-    if len(columns) == 3 and len(counts) and max(int(columns[0].max()), 1) * (int(columns[1].max()) + 1) < 2**62:
-        keys = [columns[0] * (int(columns[1].max()) + 1) + columns[1], columns[2]]
-    order = np.lexsort(keys[::-1])
+    if len(columns) == 3 and len(counts) and (int(columns[0].max()) + 1) * (int(columns[1].max()) + 1) < 2**62 and len(counts) * (int(columns[2].max()) + 1) < 2**62:
+        # Pairs by one number, then their ranks with the third by another.
+        pair = columns[0] * (int(columns[1].max()) + 1) + columns[1]
+        order = np.argsort(pair)
+        pair = pair[order]
+        rank = np.cumsum(np.append(False, pair[1:] != pair[:-1])) * (int(columns[2].max()) + 1)
+        order = order[np.argsort(rank + columns[2][order])]
+    else:
+        order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     at = runs(columns)
     return [c[at] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts
@@ -387,7 +397,7 @@ def chunks(batches, column: str = "text", size: int = CHUNK):
 
 def _packed(shards: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, kind=np.uint32):
     """A record batch with a row for each shard: its sorted columns."""
-    order = np.argsort(shards, kind="stable")
+    order = by_shard(shards)
     at = np.append(runs([shards[order]]), len(order))
     rows = [order[a:b] for a, b in zip(at, at[1:])]
     return pa.RecordBatch.from_arrays(
@@ -540,8 +550,9 @@ class Trie:
         base = (seen + 0.5) / (n + 0.5 * (v + 1))
         frequent = np.append(seen > self.m["frequent"], True)
         p1, ids = base[number], np.append(ids, self.words.size)  # by number; the last is a text's begin
-        _, w1 = contexts(number, counts, begin)
         starts = np.cumsum(counts) - counts
+        w1 = np.empty_like(number)
+        w1[1:], w1[starts] = number[:-1], begin
         first = np.zeros(len(number) + 1, bool)
         first[starts] = first[-1] = True
         known = ids[number] >= 0
