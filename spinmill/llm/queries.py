@@ -24,7 +24,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("removed"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

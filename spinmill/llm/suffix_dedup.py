@@ -375,7 +375,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs.mapInArrow(cut, f"id {kind}, t bigint, a int, z int, key bigint, digest bigint").write.parquet(f"{folder}/pieces")
     pieces = spark.read.parquet(f"{folder}/pieces")
     keys = pieces.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
-    pieces.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key").write.parquet(f"{folder}/met")
+    # Written first: where both sides of the join are plain exchanges, the rows of a common key are split.
+    keys = settled(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
+    pieces.join(keys, "key").write.parquet(f"{folder}/met")
     met = spark.read.parquet(f"{folder}/met")
     own = met.where("mixed").groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "a", "z")).alias("at"))
     own = settled(own)
