@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinmill.llm import decontam, linededup, mixing, quality, shingles
-from spinmill.llm.common import scratch, settled, table
+from spinmill.llm import decontam, linededup, mixing, quality, similar
+from spinmill.llm.common import passing, scratch, settled, sized, table
 from spinmill.llm.queries import trusted_ids
 
 
@@ -23,16 +23,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
-    """docs whose `by` isn't among ids; a null is an id like another."""
+    """docs whose `by` isn't among ids; a null is an id like another. Few ids are broadcast, so that docs stay in place."""
     ids = ids.select(F.col(by).alias("gone")).distinct()
-    return docs.join(ids, docs[by].eqNullSafe(ids["gone"]), "left_anti")
+    return docs.join(sized(ids, ids.count()), docs[by].eqNullSafe(ids["gone"]), "left_anti")
 
 
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with __row, a number of each row's own, written so that it stays the same."""
+def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column more, and its name: what tells each row from any other, the same whenever it is read.
+
+    For a table of files, a file's hash and the place in it; anything else is written with numbers first.
+    """
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    if "_metadata" not in docs.columns and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias(name)), name
     path = scratch(spark, "rows")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r"))).write.parquet(path)
+    return spark.read.parquet(path), name
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,18 +48,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     First by doc_id, nulls last; of equal ids, the first as written.
     """
-    rows = numbered(spark, docs)
-    groups = settled(rows.select("__row", "doc_id").join(shingles.near_groups(rows, "__row"), "__row"))
-    first = groups.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "__row")).alias("x")).select("x.__row")
-    gone = groups.join(first, "__row", "left_anti").select("__row")
-    return without(rows, gone, "__row").select(docs.columns)
+    rows, row = numbered(spark, docs)
+    path = scratch(spark, "copies")
+    with passing(spark):
+        groups = rows.select(F.col(row).alias("row"), "doc_id").join(similar.similar_groups(rows.select(F.col(row).alias("row"), "text"), "row"), "row")
+        groups = settled(groups)
+        first = groups.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("x")).select("x.row")
+        groups.join(first, "row", "left_anti").select("row").write.parquet(path)
+    return without(rows, spark.read.parquet(path).withColumnRenamed("row", row), row).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark, each judged by itself, whatever its doc_id."""
-    rows = numbered(spark, docs)
-    found = decontam.contamination(rows.select("__row", "text"), table(spark, sf_dir, "benchmark"), "__row")
-    return without(rows, found.where("n_hit > 0"), "__row").select(docs.columns)
+    rows, row = numbered(spark, docs)
+    path = scratch(spark, "hits")
+    with passing(spark):
+        found = decontam.contamination(rows.select(F.col(row).alias("row"), "text"), table(spark, sf_dir, "benchmark"), "row")
+        found.where("n_hit > 0").select("row").write.parquet(path)
+    return without(rows, spark.read.parquet(path).withColumnRenamed("row", row), row).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
