@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_WORD, settled, whole
+from .common import WS_WORD, settled, sized, whole
 
 #: Bits of the hash that each histogram resolves, and how many histograms are made at most.
 BITS, LEVELS = 12, 4
@@ -81,6 +81,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Unsigned order of the settled bits; the edge bucket counts if at least half of it is wanted.
     bounds = bounds.select("b_source", "prefix", (F.col("left") * 2 >= F.col("edge")).alias("edge_in"))
     per = per.join(bounds, per["__source"].eqNullSafe(bounds["b_source"]), "left").select(F.col("__source").alias("p_source"), "source_size", "target", "q", "prefix", "edge_in")
+    per = settled(per)
+    per = sized(per, per.count())  # a row for each source
     high = F.shiftrightunsigned("__h", 64 - BITS * levels)
     once_more = F.when(F.col("prefix").isNull(), False).otherwise((high < F.col("prefix")) | ((high == F.col("prefix")) & F.col("edge_in")))
     out = rows.join(per, rows["__source"].eqNullSafe(per["p_source"]))
