@@ -117,15 +117,17 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (s, y) -> named_struct('open', array_append(filter(s.open, a -> a.past > y.first), y.d),
             'out', if(y.d.base or not exists(s.open, a -> not a.base and a.past >= y.d.past and a.priority <= y.priority), array_append(s.out, y.d), s.out)),
         s -> s.out)"""
-    lower = F.lower(whole("__text"))
-    passes = lower.contains(GATE[0])
-    for k in GATE[1:]:
-        passes |= lower.contains(k)
+    passes = F.lit(False)
+    for k in GATE:
+        passes |= F.col("__lower").contains(k)
     had = [c for c in docs.columns if c not in ("n_words", "n_base", "detections")]
-    df = docs.select(*had, F.col(text_col).alias("__text"))
+    # The caller's columns travel in one struct, so that none can clash with those made here.
+    df = docs.select(F.struct(*had).alias("__row"), F.col(text_col).alias("__text"))
+    # Lower-cased once: inside a condition it would be done again for each keyword.
+    df = df.withColumn("__lower", pinned(F.lower(whole("__text"))))
     df = df.withColumn("n_words", F.regexp_count(whole("__text"), F.lit(ANY_CASE_WORD)).cast("long"))
     words = F.regexp_extract_all(F.translate(whole("__text"), UPPER, LOWER), F.lit(ANY_CASE_WORD), F.lit(0))
     df = df.withColumn("__norm", F.when(passes, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(F.lit("")))
     df = df.withColumn("__found", pinned(F.when(F.length("__norm") > 2, F.expr(found)).otherwise(F.expr(f"cast(array() as {kind})"))))
     df = df.withColumn("detections", pinned(F.when(F.size("__found") > 0, F.expr(kept)).otherwise(F.expr(f"cast(array() as {kind})"))))
-    return df.withColumn("n_base", F.size(F.filter("__found", lambda x: x["base"])).cast("long")).drop("__text", "__norm", "__found")
+    return df.select(*[F.col("__row").getField(c).alias(c) for c in had], "n_words", "detections", F.size(F.filter("__found", lambda x: x["base"])).cast("long").alias("n_base"))
