@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -77,6 +78,24 @@ def dropped(spark: SparkSession, path: str) -> None:
         _scratch.remove(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Scratch folders made inside are removed at the end: for what is written elsewhere by then."""
+    before = len(_scratch)
+    yield
+    for path in _scratch[before:]:
+        dropped(spark, path)
+
+
+#: Rows of numbers up to which a side is broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(df: DataFrame, n: int, most: int | None = None) -> DataFrame:
+    """df, to be broadcast if it holds n rows of numbers and n is at most `most`."""
+    return F.broadcast(df) if n <= (MOST_BROADCAST if most is None else most) else df
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all scratch folders that this process has made; for when its results have been written."""
     while _scratch:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, pinned, scratch, settled, text_bytes
+from .common import dropped, pinned, scratch, settled, sized, text_bytes
 
 #: A line of fewer words is only held against equal lines: one word in five may differ.
 MIN_WORDS = 5
@@ -40,7 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
     h, get = xxhash.xxh64_intdigest, memo.get
-    if len(memo) > 500_000:
+    if len(memo) > 100_000:
         memo.clear()
     out = []
     for w in words:
@@ -150,7 +150,7 @@ def near_lines(lines: DataFrame, folder: str) -> DataFrame:
     keyed = lines.sparkSession.read.parquet(f"{folder}/variants")
     # The aggregate is combined before its exchange, and the join's keys may repeat: a key of very many lines is split.
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("place") < 0, F.col("ord"))).alias("full"), F.min(F.when(F.col("place") >= 0, F.col("ord"))).alias("short")).where("n > 1")
-    met = settled(keyed.join(shared, "key"))
+    met = settled(keyed.join(settled(shared), "key"))
     at_place = met.where("place >= 0").groupBy("key", "place").agg(F.min("ord").alias("alike"))
     pairs = met.join(at_place, ["key", "place"], "left").select("ord", F.explode(F.array("alike", F.when(F.col("place") < 0, F.col("short")).otherwise(F.col("full")))).alias("b"))
     pairs = pairs.where("b < ord").select(F.col("ord").alias("a"), "b").distinct()
@@ -190,7 +190,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted.repartitionByRange("own").sortWithinPartitions("own").withColumn("ord", F.monotonically_increasing_id()).write.parquet(f"{folder}/wanted")
     wanted = spark.read.parquet(f"{folder}/wanted")
     by_doc = wanted.groupBy("own.id", "own.t").agg(F.collect_list(F.struct(F.col("own.no").alias("no"), "ord")).alias("want"))
-    by_doc = sized(by_doc, wanted.count())
+    by_doc = sized(by_doc, wanted.count(), MOST_BROADCAST)
     # Rows alike in id and text give a line twice, with one ord: it has no earlier neighbour in itself.
     held = src.join(by_doc, src["id"].eqNullSafe(by_doc["id"]) & (src["t"] == by_doc["t"])).select("text", F.explode("want").alias("w"))
     held = held.select("w.ord", F.get(F.split("text", "\n", -1), F.col("w.no")).alias("line"))
@@ -199,12 +199,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = wanted.join(near, "ord", "left_semi").select("k1", "k2", F.lit(True).alias("near"))
 
     fates = lines.join(near, ["k1", "k2"], "left").where("n > 1 or near").select("k1", "k2", "own", "near")
+    fates = settled(fates)  # so that the join's both sides are plain exchanges, of which a common line's part is split
     gone = every.drop("halves").join(fates, ["k1", "k2"]).where(F.col("near").isNotNull() | ~place.eqNullSafe(F.col("own")))
     last = scratch(spark, "gone-lines")
     gone.groupBy("id", "t").agg(F.collect_set("no").alias("gone")).write.parquet(last)
     dropped(spark, folder)
     gone = spark.read.parquet(last)
-    gone = sized(gone, gone.agg(F.sum(F.size("gone"))).first()[0] or 0)
+    gone = sized(gone, gone.agg(F.sum(F.size("gone"))).first()[0] or 0, MOST_BROADCAST)
 
     had = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # The caller's columns travel in one struct, so that none can clash with those made here.
@@ -216,8 +217,3 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.when(F.col("gone").isNull(), value).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
     n_lines = F.when(value.isNull(), 0).otherwise(F.size(F.filter("parts", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     return out.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in had], n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
-
-
-def sized(df: DataFrame, n: int) -> DataFrame:
-    """df, to be broadcast if it holds n lines at most MOST_BROADCAST."""
-    return F.broadcast(df) if n <= MOST_BROADCAST else df

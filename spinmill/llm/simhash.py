@@ -36,15 +36,20 @@ def shingle_hashes(words: list[bytes], n: int = SHINGLE, seed: int = SEED) -> li
     return [h(joined[a:b], seed) for a, b in zip(starts, ends[n - 1 :])]
 
 
-def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each run of counts[i] hashes: the bits that over half of them have."""
+def majorities(hashes: np.ndarray, counts: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """For each run of counts[i] hashes: the bits that over half of them have. `step` hashes are spread out at a time."""
     out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        ends = np.cumsum(counts[full])
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, ends - counts[full], axis=0, dtype=np.uint32)
-        over = np.packbits(2 * sums > counts[full][:, None], axis=1, bitorder="little")
+        size = counts[full]
+        ends = np.cumsum(size)
+        starts, sums = ends - size, np.zeros((len(full), 64), np.int64)
+        for lo in range(0, len(hashes), step):
+            part = hashes[lo : lo + step]
+            a, z = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, lo + len(part), "left")
+            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums[a:z] += np.add.reduceat(bits, np.maximum(starts[a:z] - lo, 0), axis=0, dtype=np.uint32)
+        over = np.packbits(2 * sums > size[:, None], axis=1, bitorder="little")
         out[full] = over.view("<u8").ravel()
     return out
 
@@ -77,44 +82,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def within_radius(planes, queries, radius: int = RADIUS, every: int = 16) -> np.ndarray:
-    """Lanes (bits of the result's words) whose distance is at most radius, at most 6.
+    """Lanes (bits of the result's words) whose distance is at most radius.
 
     planes(k) and queries(k) give bit plane k of both sides as words of 64 lanes. Three planes at a time go through a
-    carry-save adder into a vertical counter of three bits; lanes that overflow it are marked. The block is abandoned
-    once every lane is above the radius.
+    carry-save adder into a vertical counter of as many bits as the radius has; lanes that overflow it are marked. The
+    block is abandoned once every lane is above the radius.
     """
-    one = two = four = over = None
+    counter: list[np.ndarray] = []
+    over = None
     for k in range(0, 64, 3):
         x = [planes(j) ^ queries(j) for j in range(k, min(k + 3, 64))]
-        if one is None:
-            one, two, four, over = (np.zeros_like(x[0]) for _ in range(4))
+        if over is None:
+            over = np.zeros_like(x[0])
+            counter = [np.zeros_like(x[0]) for _ in range(max(1, radius.bit_length()))]
         if len(x) == 3:
             ab = x[0] ^ x[1]
             low, high = ab ^ x[2], (x[0] & x[1]) | (ab & x[2])
         else:
             low, high = x[0], None
-        carry = one & low
-        one ^= low
-        for add in (carry, high):
-            if add is not None:
-                up = two & add
-                two ^= add
-                over |= four & up
-                four ^= up
-        if k % every < 3 and k and np.all(_above(one, two, four, over, radius) == ~np.uint64(0)):
-            return np.zeros_like(one)
-    return ~_above(one, two, four, over, radius)
-
-
-def _above(one, two, four, over, radius: int) -> np.ndarray:
+        for add, at in ((low, 0), (high, 1)):
+            if add is None:
+                continue
+            for i in range(at, len(counter)):
+                add, counter[i] = counter[i] & add, counter[i] ^ add
+            over |= add
+        if k % every < 3 and k and np.all(_above(counter, over, radius) == ~np.uint64(0)):
+            return np.zeros_like(over)
+    return ~_above(counter, over, radius)
+
+
+def _above(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
     """Lanes whose counter is over the radius: a bitwise comparison from the highest bit down."""
     gt, eq = over.copy(), ~over
-    for bit, plane in ((4, four), (2, two), (1, one)):
-        if radius & bit:
-            eq &= plane
+    for i in range(len(counter) - 1, -1, -1):
+        if radius >> i & 1:
+            eq &= counter[i]
         else:
-            gt |= eq & plane
-            eq &= ~plane
+            gt |= eq & counter[i]
+            eq &= ~counter[i]
     return gt
 
 
@@ -317,5 +322,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = comps.select(F.col("node").alias("fp"), "root").union(comps.select(F.col("root").alias("fp"), "root").distinct())
     named = nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(best, "root").select("fp", "component_id")
+    named = named.join(settled(best), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")

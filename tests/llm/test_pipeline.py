@@ -3,7 +3,7 @@ import corpus_pipeline as cp
 
 def test_stages_in_turn(spark, sf, rows):
     """Each stage's decisions against what its operator says of the same input."""
-    from spinmill.llm import decontam, linededup, mixing, quality, simhash
+    from spinmill.llm import decontam, linededup, mixing, quality, similar
     from spinmill.llm.common import table
 
     docs = table(spark, sf, "documents")
@@ -19,7 +19,8 @@ def test_stages_in_turn(spark, sf, rows):
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == left and lines.columns == docs.columns
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
     near = cp.drop_near_duplicates(spark, lines, sf).cache()
-    assert ids(near) == sorted({r["component_id"] for r in simhash.near_duplicates(lines).collect()}) and near.columns == docs.columns
+    groups = lines.select("doc_id", "text").join(similar.similar_groups(lines, "doc_id"), "doc_id").groupBy("group").agg({"doc_id": "min"}).collect()
+    assert ids(near) == sorted(r["min(doc_id)"] for r in groups) and near.columns == docs.columns
     clean = cp.decontaminate(spark, near, sf).cache()
     found = {r["doc_id"]: r["n_hit"] for r in decontam.contamination(near, table(spark, sf, "benchmark")).collect()}
     assert ids(clean) == sorted(d for d, n in found.items() if not n) and clean.columns == docs.columns

@@ -47,7 +47,17 @@ def test_empty_table(spark, frame):
     assert sh.near_duplicates(frame([])).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 1, 3, 4, 6])
+@pytest.mark.parametrize("step", [1, 7, 64, 1000])
+def test_majorities_in_steps(step):
+    rng = np.random.default_rng(8)
+    counts = np.array([0, 3, 1, 0, 200, 2, 50, 0])
+    h = rng.integers(0, 2**63, counts.sum(), dtype=np.uint64)
+    ends = np.cumsum(counts)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[e - c : e]) > c) for c, e in zip(counts, ends)]
+    assert sh.majorities(h, counts, step).tolist() == want
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 6, 7, 8, 26, 63])
 def test_counters_agree_with_popcounts(radius):
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 150, dtype=np.uint64)

@@ -1,8 +1,9 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
-from spinmill.llm import shingles as sh
+from spinmill.llm import similar as sh
 
 
 def sets_of(texts, n=5):
@@ -54,11 +55,33 @@ def test_stage_against_brute_force(spark, frame, sf, texts):
     assert got == sorted(set(classes(texts))) and len(got) < len(texts)
 
 
+def test_tiles_and_large_groups(spark, texts, monkeypatch):
+    """Small tiles, and groups compared by rows of queries, give the same groups."""
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string").repartition(3)
+    want = classes(texts)
+    for tile, small in ((3, 192), (2048, 2)):
+        monkeypatch.setattr(sh, "TILE", tile)
+        monkeypatch.setattr(sh, "SMALL", small)
+        group = {r["k"]: r["group"] for r in sh.similar_groups(df, "k").collect()}
+        assert len(set(zip(want, (group[i] for i in range(len(want)))))) == len(set(want)) == len(set(group.values()))
+
+
+def test_close_pairs_of_any_group():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    fp[350:] = fp[:350] ^ (np.uint64(1) << rng.integers(0, 63, 350).astype(np.uint64))
+    group = np.sort(np.where(np.arange(700) % 2, 5, rng.integers(0, 12, 700) ** 2))  # one of over 350
+    n = rng.integers(80, 130, 700)
+    got = {(max(i, j), min(i, j)) for part in sh.close_pairs(group, fp, n, 0.8, 26) for i, j in zip(part[0].tolist(), part[1].tolist())}
+    want = {(i, j) for i in range(700) for j in range(i) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 26 and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
+    assert got == want
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.8])
 def test_groups_of_a_table(spark, rows, texts, threshold):
     all_texts = [r["text"] for r in rows] + texts
     df = spark.createDataFrame([(i, t) for i, t in enumerate(all_texts)], "k bigint, text string")
-    group = {r["k"]: r["group"] for r in sh.near_groups(df, "k", threshold=threshold).collect()}
+    group = {r["k"]: r["group"] for r in sh.similar_groups(df, "k", similarity=threshold).collect()}
     want = classes(all_texts, threshold)
     assert len(group) == len(all_texts)
     assert len(set(zip(want, (group[i] for i in range(len(want)))))) == len(set(want)) == len(set(group.values()))
