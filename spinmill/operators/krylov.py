@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.algebra import OpSum
@@ -155,13 +155,88 @@ def load_state(spark: SparkSession, path: str) -> dict:
     return {"v": spark.read.parquet(f"{path}/v"), "u": spark.read.parquet(f"{path}/u") if len(betas) else None, "alphas": [a for _, a, _ in rows], "betas": betas}
 
 
-def eigenpairs(basis: DataFrame, ops: OpSum, n_sites: int, k: int = 1, s: Settings | None = None) -> tuple[np.ndarray, DataFrame | None]:
-    """Lowest k values, and their vectors as (lo, vec, x). Dense, Krylov on the driver, or distributed, by the basis's size."""
+def _weighted(q: str, weights: np.ndarray) -> Column:
+    """Sum of a row's entries of array q by weight, in compiled code."""
+    total = F.lit(0.0)
+    for i, w in enumerate(weights):
+        total = total + F.get(q, F.lit(i)) * F.lit(float(w))
+    return total
+
+
+def _products(df: DataFrame, q: str, width: int, w: Column) -> tuple[np.ndarray, float]:
+    """Inner products of w with each vector of array q, and of w with itself, in one aggregate."""
+    row = df.agg(*[F.coalesce(F.sum(F.get(q, F.lit(i)) * w), F.lit(0.0)) for i in range(width)], F.coalesce(F.sum(w * w), F.lit(0.0))).first()
+    return np.array(row[:-1], float), float(row[-1])
+
+
+def distributed_eigenpairs(basis: DataFrame, ops: OpSum, n_sites: int, k: int = 1, s: Settings | None = None) -> tuple[np.ndarray, DataFrame]:
+    """Lowest k values and their vectors over DataFrames, for bases of any size and of one or two words.
+
+    A row for each state holds its entries of all Krylov vectors, so that inner products are one aggregate, a new vector
+    one join on the state, and Ritz vectors a projection. k starts find multiple values. Every vector is
+    orthogonalised against all others twice; beyond the bound on their number the best Ritz vectors are kept and the rest
+    goes. Each step is written to the checkpoint folder. Fewer than k pairs if there are fewer states; an error if it
+    doesn't converge.
+    """
+    s, cols = s or Settings(), names(n_sites)
+    most = max(3 * k + 24, min(s.krylov_dim, 72))
+    starts = F.array(*[F.xxhash64(*cols, F.lit(s.seed + i)) / F.lit(2.0**63) for i in range(k)])
+    space = checkpointed(basis.select(*cols, starts.alias("q")))
+    gram = np.stack([_products(space, "q", k, F.get("q", F.lit(i)))[0] for i in range(k)])
+    size, turn = np.linalg.eigh(gram)
+    keep = size > 1e-12 * max(size.max(initial=0.0), 1e-300)
+    turn = turn[:, keep] / np.sqrt(size[keep])
+    width, done = turn.shape[1], 0
+    if not width:
+        return np.zeros(0), basis.select(*cols, F.lit(0).alias("vec"), F.lit(0.0).alias("x")).limit(0)
+    space = space.select(*cols, F.array(*[_weighted("q", turn[:, i]) for i in range(width)]).alias("q"))
+    t = np.zeros((width, width))
+    for _ in range(40 * most):
+        w = apply(space.select(*cols, F.get("q", F.lit(done)).alias("x")), ops, n_sites, basis=basis).withColumnRenamed("x", "w")
+        space = checkpointed(space.join(w, cols, "left").select(*cols, "q", F.coalesce("w", F.lit(0.0)).alias("w")))
+        first, _ = _products(space, "q", width, F.col("w"))
+        rest = F.col("w") - _weighted("q", first)
+        again, left = _products(space, "q", width, rest)
+        rest, beta = rest - _weighted("q", again), np.sqrt(max(left - float(again @ again), 0.0))
+        t[:, done] = t[done, :] = first + again
+        done += 1
+        if beta > 1e-10 * max(1.0, np.abs(t).max()):
+            space = space.select(*cols, F.array_append("q", rest / F.lit(beta)).alias("q"))
+            t = np.pad(t, (0, 1))
+            t[width, done - 1] = t[done - 1, width] = beta
+            width += 1
+        else:
+            space = space.select(*cols, "q")
+        e, u = np.linalg.eigh(t[:done, :done])
+        # What the operator makes of a Ritz vector outside the vectors it has been applied to is its residual.
+        gap = np.linalg.norm(t[done:, :done] @ u[:, :k], axis=0)
+        if done == width or done >= k and np.all(gap < max(s.tol_vector, 1e-9)):
+            break
+        if width > most:
+            stay = min(done, 2 * k + 8)
+            turn = np.zeros((width, stay + width - done))
+            turn[:done, :stay] = u[:, :stay]
+            turn[done:, stay:] = np.eye(width - done)
+            space = space.select(*cols, F.array(*[_weighted("q", turn[:, i]) for i in range(turn.shape[1])]).alias("q"))
+            t, width, done = turn.T @ t @ turn, turn.shape[1], stay
+    else:
+        raise RuntimeError(f"no convergence: residuals {gap}")
+    found = min(k, done)
+    ritz = space.select(*cols, F.array(*[_weighted("q", u[:, i]) for i in range(found)]).alias("q"))
+    ritz = checkpointed(ritz)
+    top = ritz.agg(*[F.max_by(F.get("q", F.lit(i)), F.struct(F.abs(F.get("q", F.lit(i))), *cols)) for i in range(found)]).first()
+    sign = F.array(*[F.lit(-1.0 if x < 0 else 1.0) for x in top])
+    rows = ritz.select(*cols, F.posexplode(F.zip_with("q", sign, lambda a, b: a * b)).alias("vec", "x"))
+    return e[:found], rows
+
+
+def eigenpairs(basis: DataFrame, ops: OpSum, n_sites: int, k: int = 1, s: Settings | None = None, *, local: int = LOCAL) -> tuple[np.ndarray, DataFrame]:
+    """Lowest k values, and their vectors as (lo, hi beyond 63 sites, vec, x): dense or Krylov on the driver up to `local`
+    states of one word, over DataFrames beyond."""
     s = s or Settings()
-    states = local_states(basis, n_sites, LOCAL)
+    states = local_states(basis, n_sites, local)
     if states is None:
-        result, _ = distributed_lanczos(basis, ops, n_sites, s)
-        return result.values, None
+        return distributed_eigenpairs(basis, ops, n_sites, k, s)
     a = Local(states, ops)
     if len(states) <= DENSE:
         values, vectors = np.linalg.eigh(a.dense())

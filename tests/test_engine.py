@@ -165,3 +165,30 @@ def test_splines_roots_and_fits():
     assert sweep.root(lambda v: v * v - 2, 0, 2) == pytest.approx(2**0.5) and sweep.root(lambda v: 1.0, 0, 1) is None
     t0, a = sweep.runtime_model(np.array([1.0, 2, 3]), 0.5 + 2 * np.exp([1.0, 2, 3]))
     assert (t0, a) == pytest.approx((0.5, 2.0))
+
+
+def test_distributed_eigenpairs_are_the_dense_ones(spark):
+    lat = pyrochlore((1, 0, 0), (0, 2, 0), (0, 0, 2))
+    basis = enumeration.ice_states(spark, lat).select("lo").cache()
+    h = hamiltonians.ring_hamiltonian(lat, [1.0, -0.2, -0.2, -0.2], repeated=False) + OpSum.of(*[(0.1 * (k % 3), f"{a}Z {b}Z") for k, (a, b, _) in enumerate(lat.bonds[:20])])
+    want, _ = krylov.eigenpairs(basis, h, 16, 2)
+    values, vectors = krylov.eigenpairs(basis, h, 16, 2, local=0)
+    assert values == pytest.approx(want, abs=1e-9)
+    states = np.array([r["lo"] for r in basis.collect()])
+    a, v = ap.Local(states, h), np.zeros((len(states), 2))
+    place = {int(x): i for i, x in enumerate(a.states)}
+    for r in vectors.collect():
+        v[place[r["lo"]], r["vec"]] = r["x"]
+    assert np.abs(v.T @ v - np.eye(2)).max() < 1e-9
+    assert np.abs(a @ v - v * values).max() < 1e-8
+    assert all(v[np.abs(v[:, i]).argmax(), i] > 0 for i in range(2))
+
+
+def test_distributed_eigenpairs_of_two_words(spark):
+    """Four states of 66 sites; one pair of sites may swap, so that each value comes twice. More are asked for than there are."""
+    masks = [(1 << i | 1 << (i + 33), 1, 1) for i in range(33)]
+    basis = enumeration.enumerate_states(spark, 66, [*masks, ((1 << 31) - 1, 0, 0)], order=[i for k in range(33) for i in (k, k + 33)]).select("lo", "hi").cache()
+    values, vectors = krylov.eigenpairs(basis, OpSum.of((1.0, "31+ 64-"), (1.0, "31- 64+")), 66, 6)
+    assert values == pytest.approx([-1, -1, 1, 1], abs=1e-9)
+    rows = vectors.collect()
+    assert len(rows) == 16 and sum(r["x"] ** 2 for r in rows) == pytest.approx(4)
