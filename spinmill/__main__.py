@@ -2,19 +2,23 @@
 
     python -m spinmill basis LATTICE [--pairs N] [--order greedy] [--sector 4.4.4.4] [--partition] [--format parquet]
     python -m spinmill closure LATTICE SEED [--out PATH]
-    python -m spinmill diag LATTICE (--g A,B,C,D | --jpm J --field X,Y,Z) [--n 1] [--pairs N] [--drop-null]
-    python -m spinmill observables LATTICE EIGEN [--what ring,cross,flip]
+    python -m spinmill diag LATTICE (--g A,B,C,D | --jpm J --field X,Y,Z) [--n 1] [--pairs N] [--drop-null] [--save-matrix]
+    python -m spinmill observables LATTICE EIGEN [--what ring,cross,flip] [--vector N]
+    python -m spinmill merge LATTICE SHARD... [--partition]
+    python -m spinmill ring-normed LATTICE [--pairs N]
 """
 
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.algebra import OpSum
-from .operators import apply, enumeration, hamiltonians, krylov, observables
+from .functions.bits import names
+from .operators import apply, enumeration, hamiltonians, krylov, observables, sectors
 from .sources import store
 from .sources.lattice import read_json
 
@@ -26,7 +30,7 @@ def numbers(text: str) -> list[float]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="spinmill")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("basis", "closure", "diag", "observables"):
+    for name in ("basis", "closure", "diag", "observables", "merge", "ring-normed"):
         c = sub.add_parser(name)
         c.add_argument("lattice")
         c.add_argument("--pairs", type=int, default=0)
@@ -48,9 +52,14 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--tolerance", type=float, default=1e-12)
             c.add_argument("--rng", type=int, default=0)
             c.add_argument("--drop-null", action="store_true")
+            c.add_argument("--save-matrix", action="store_true")
         if name == "observables":
             c.add_argument("eigen")
             c.add_argument("--what", default="ring")
+            c.add_argument("--vector", type=int)
+        if name == "merge":
+            c.add_argument("shards", nargs="+")
+            c.add_argument("--partition", action="store_true")
     return p
 
 
@@ -83,10 +92,30 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         tag = "g=" + ",".join(map(str, a.g)) if a.g else f"Jpm={a.jpm}%" + "%".join(f"B{k}={b}" for k, b in zip("xyz", a.field))
         out = a.out or f"{a.lattice.removesuffix('.json')}%{tag}%.eigs"
         spark.createDataFrame([(i, float(e)) for i, e in enumerate(values)], "vec int, e double").write.mode("overwrite").parquet(f"{out}/values")
-        if vectors is not None:
-            vectors.write.mode("overwrite").parquet(f"{out}/vectors")
+        # By number, so that reading one vector leaves the others' files alone.
+        vectors.write.mode("overwrite").partitionBy("vec").parquet(f"{out}/vectors")
+        if a.save_matrix:
+            rank = sectors.numbered(basis, n)
+            rows = apply.triplets(basis, ops, n).join(rank.withColumnRenamed("place", "row"), names(n))
+            rows = rows.join(rank.select(F.col("place").alias("col"), *[F.col(c).alias(f"from_{c}") for c in names(n)]), [f"from_{c}" for c in names(n)])
+            store.write_matrix_market(rows.select("row", "col", "val"), rank.count(), f"{out}/matrix")
+        return out
+    if a.command == "merge":
+        # Shards in any order, with states in several of them; sorted by a range-partitioned exchange.
+        states = sectors.sorted_unique(reduce(DataFrame.unionByName, [store.read_basis(spark, x, n) for x in a.shards]), n)
+        out = a.out or store.basis_path(a.lattice, a.pairs, a.partition)
+        store.write_basis(states, out, n, sectors=lat.sublattice_masks() if a.partition else None)
+        return out
+    if a.command == "ring-normed":
+        basis = store.read_basis(spark, store.basis_path(a.lattice, a.pairs), n)
+        out = a.out or f"{a.lattice.removesuffix('.json')}.{a.pairs}.ring-normed"
+        sums = [(k, sl, apply.apply(basis.withColumn("x", F.lit(1.0)), OpSum.of((1.0, o * h)), n)) for k, (o, h, sl) in enumerate(hamiltonians.ring_terms(lat))]
+        kept = reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("op"), F.lit(sl).alias("sl"), "x") for k, sl, x in sums])
+        kept.groupBy("op", "sl").agg(F.sum("x").alias("states")).write.mode("overwrite").parquet(out)
         return out
     vectors = spark.read.parquet(f"{a.eigen}/vectors")
+    if a.vector is not None:
+        vectors = vectors.where(F.col("vec") == a.vector)
     rings = hamiltonians.ring_terms(lat)
     ops = [OpSum.of((1.0, o)) for o, _, _ in rings]
     out = a.out or f"{a.eigen}.out"

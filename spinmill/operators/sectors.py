@@ -28,6 +28,23 @@ def sorted_unique(states: DataFrame, n_sites: int) -> DataFrame:
     return states.select(*cols).distinct().orderBy(*State.of(n_sites).order())
 
 
+def numbered(states: DataFrame, n_sites: int) -> DataFrame:
+    """States with their place from 1 in unsigned order: places in range partitions, after the rows of those before.
+
+    The partitions are written first, so that counting and numbering see the same.
+    """
+    from .enumeration import checkpointed
+
+    order = State.of(n_sites).order()
+    parts = checkpointed(states.select(*names(n_sites)).repartitionByRange(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("id", 33)
+    sizes = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    sizes = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    out = parts.withColumn("part", part).join(F.broadcast(sizes), "part")
+    return out.select(*names(n_sites), (F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
+
+
 def inserted(basis: DataFrame, new: DataFrame, n_sites: int) -> tuple[DataFrame, DataFrame]:
     """(the union, what of `new` wasn't there)."""
     cols = names(n_sites)
