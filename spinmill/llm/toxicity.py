@@ -14,6 +14,8 @@ from .common import alnum_words, settled
 
 #: Labelled rows that the classifier is fitted on at most; the first by a hash of their id.
 MOST_LABELLED = 20_000
+#: Weight of the squared score change under swapped identity terms.
+SWAP_WEIGHT = 1.0
 #: A word counts as a feature if so many of those rows have it.
 MIN_ROWS = 5
 #: and if its share of toxic rows is so many standard deviations from the mean.
@@ -68,7 +70,7 @@ def feature_set(words, memo: dict[bytes, tuple[int, ...]]) -> set[int]:
     return out
 
 
-def fit(rows: list[tuple[set[int], set[int] | None, int]], *, swap_weight: float = 1.0, ridge: float = 3.0, rounds: int = 200) -> dict[int, float]:
+def fit(rows: list[tuple[set[int], set[int] | None, int]], *, swap_weight: float = SWAP_WEIGHT, ridge: float = 3.0, rounds: int = 200) -> dict[int, float]:
     """Weights by feature, the bias under -1. rows: (features, features after a swap or None, label).
 
     Minimises the log loss, plus swap_weight times the squared change of the score under the swap, plus a ridge, by
@@ -107,7 +109,7 @@ def fit(rows: list[tuple[set[int], set[int] | None, int]], *, swap_weight: float
     return {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3} | {-1: float(b)}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, swap_weight: float = SWAP_WEIGHT) -> dict[int, float]:
     """Weights from at most `most` labelled rows. Their ids, and the features that tell, are broadcast: bounded by `most`."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(most).select(F.col(id_col).alias("id"), "y")
@@ -145,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     unpack = lambda x: None if x is None else set(np.frombuffer(bytes(x), np.uint64).tolist())
     rows = src.mapInArrow(own_features, "id string, own binary, swap binary, y int").collect()
     rows = sorted((r["id"], bytes(r["own"]), r["swap"], r["y"]) for r in rows)[:most]
-    return fit([(unpack(own), unpack(swap), y) for _, own, swap, y in rows])
+    return fit([(unpack(own), unpack(swap), y) for _, own, swap, y in rows], swap_weight=swap_weight)
 
 
 def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,11 +178,11 @@ def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", te
     return src.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most: int = MOST_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most: int = MOST_LABELLED, threshold: float = THRESHOLD, swap_weight: float = SWAP_WEIGHT) -> DataFrame:
     """id_col, held_out, score, predicted. Only labels of rows not held out are learnt from.
 
     Rows with a null id or label aren't learnt from; all rows are scored, each by itself. Without labels every score is
     a tenth.
     """
-    weights = train(docs, labels, id_col, text_col, label_col, most)
+    weights = train(docs, labels, id_col, text_col, label_col, most, swap_weight)
     return score(docs, weights, id_col, text_col).withColumns({"held_out": held_out(id_col), "predicted": (F.col("score") >= threshold).cast("int")})

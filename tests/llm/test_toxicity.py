@@ -41,6 +41,19 @@ def test_held_out_accuracy(spark, labelled):
     assert sum(p == y for p, y in out) / len(out) > 0.97 and len(out) > 100
 
 
+def test_neutral_mentions_after_training(spark, labelled):
+    """Clean held-out texts that name a group, by training with and without the penalty."""
+    neutral = [(i, t) for i, t, y in labelled if held(i) and not y]
+    extra = [(10_000 + k, f"{t} muslims", 0) for k, (_, t) in enumerate(neutral)]
+    rate = {}
+    for weight in (0.0, tx.SWAP_WEIGHT):
+        got = run(spark, labelled + extra, swap_weight=weight)
+        own = [i for i, *_ in extra if held(i)]
+        rate[weight] = sum(got[i]["score"] for i in own) / len(own)
+    print("mean score of neutral mentions", rate)
+    assert rate[tx.SWAP_WEIGHT] < 0.8 * rate[0.0]
+
+
 def test_labels_of_held_out_rows_are_not_learnt_from(spark, labelled):
     other = [(i, t, 1 - y if held(i) else y) for i, t, y in labelled]
     assert run(spark, labelled) == run(spark, other)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -75,3 +77,20 @@ def test_labelled_urls_are_learnt(spark):
 @pytest.mark.parametrize("url", ["", "http://a.b/c?x=1#y", "é" * 10])
 def test_lexical_features(url):
     assert len(urls.lexical(url, "a.b", "/c")) + 2 == len(urls.FEATURES)
+
+
+def test_held_out_urls(spark, sf):
+    """Labels are the rules' verdicts on half of the hosts and paths they decide; the other half's are told by the trees."""
+    import zlib
+
+    pages = spark.read.parquet(f"{sf}/../sf0.1/pages.parquet").select("page_id", "url")
+    known = [(u, ruled(*cut(u))[1]) for u in sorted({r["url"] for r in pages.collect() if r["url"]})]
+    known = [(u, v) for u, v in known if v]
+    out = {u: v for u, v in known if zlib.crc32(u.encode()) % 2}
+    labelled = spark.createDataFrame([(u, int(v == "block")) for u, v in known if u not in out], "url string, blocked int")
+    got = urls.url_filter(pages.where("url is not null"), labelled=labelled, rules=[]).select("page_id", "score").collect()
+    of = {r["page_id"]: r["url"] for r in pages.collect()}
+    right = [(r["score"] > 0.5) == (out[of[r["page_id"]]] == "block") for r in got if of[r["page_id"]] in out]
+    print("held-out accuracy", sum(right) / len(right), "of", len(right), Counter(out.values()))
+    most = max(sum(v == k for v in out.values()) for k in ("block", "allow")) / len(out)
+    assert len(right) > 100 and sum(right) / len(right) > most
