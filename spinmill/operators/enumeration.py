@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ from .apply import images
 DEAL_EVERY = 12
 
 
+#: States that a task grows from an exchange of the frontier on, about.
+TASK_ROWS = 500_000
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut off from its lineage in the shared checkpoint folder, so that lost executors don't matter."""
     from ..sources.store import checkpoint_folder
@@ -65,7 +71,8 @@ def enumerate_states(
         df = grown.select(*cols, "pairs")
         if (k + 1) % deal_every == 0 and k + 1 < n_sites:
             # The frontier is spread over the cluster, and the plan cut so that it stays short.
-            df = checkpointed(df.repartition(deal))
+            df = checkpointed(df)
+            df = df.repartition(max(deal, math.ceil(df.count() / TASK_ROWS)))
     for mask, up in sector or []:
         df = df.where(State.of(n_sites).popcount(mask) == up)
     return df

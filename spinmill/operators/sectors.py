@@ -57,13 +57,10 @@ def range_bounds(states: DataFrame, parts: int, n_sites: int) -> DataFrame:
 
     Rows are numbered by their partition's first number and their place in it, so that none is sorted in one task.
     """
-    key = State.of(n_sites).order()
-    cut = states.repartitionByRange(*key).sortWithinPartitions(*key).select(*names(n_sites), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    sizes = cut.groupBy("p").agg(F.count("*").alias("c"))
-    before = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("total"))
-    numbered = cut.join(F.broadcast(before), "p").withColumn("row", F.col("before") + F.col("at"))  # a row for each partition
+    rows = numbered(states, n_sites).withColumn("row", F.col("place") - 1)
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
     part = F.least(F.floor(F.col("row") * parts / F.col("total")), F.lit(parts - 1)).cast("int")
-    return numbered.withColumn("part", part).groupBy("part").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("n"))
+    return rows.crossJoin(total).withColumn("part", part).groupBy("part").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("n"))
 
 
 def prefix_bins(states: DataFrame, mask: int, n_sites: int) -> DataFrame:

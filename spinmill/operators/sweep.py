@@ -61,8 +61,11 @@ def drop_near_duplicates(results: DataFrame, x: str, tol: float, keys: list[str]
     cond = (F.col("band") == F.col("r_band")) & near(F.col(x), F.col("r_x"), tol) & (F.col("r_rank") < F.col(rank))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"r_{k}"))
-    later = mine.join(other, cond, "left_semi").select(rank).distinct()
-    return results.join(later, rank, "left_anti")
+    later = mine.join(other, cond, "left_semi").select(rank, x, *keys).distinct()
+    same = F.lit(True)
+    for c in (rank, x, *keys):
+        same = same & results[c].eqNullSafe(later[c])
+    return results.join(later, same, "left_anti")
 
 
 def drop_adjacent(results: DataFrame, x: str, gap: float = 1e-10, keys: list[str] | None = None) -> DataFrame:
@@ -125,16 +128,24 @@ def spline_second(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.zeros(n)
     h, d = np.diff(x), np.diff(y) / np.diff(x)
-    a, r = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 6 * (d[i] - d[i - 1])
+    below, own, above, r = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d)
     if n > 3:
-        a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-        a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    else:
-        a[0, 0] = a[-1, -1] = 1
-    return np.linalg.solve(a, r)
+        # The ends' conditions put into their neighbours' equations leave three diagonals.
+        own[0] += h[0] + h[0] ** 2 / h[1]
+        above[0] -= h[0] ** 2 / h[1]
+        own[-1] += h[-1] + h[-1] ** 2 / h[-2]
+        below[-1] -= h[-1] ** 2 / h[-2]
+    for i in range(1, n - 2):
+        f = below[i] / own[i - 1]
+        own[i] -= f * above[i - 1]
+        r[i] -= f * r[i - 1]
+    m = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        m[i + 1] = (r[i] - (above[i] * m[i + 2] if i < n - 3 else 0.0)) / own[i]
+    if n > 3:
+        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+        m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
+    return m
 
 
 def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -440,6 +440,12 @@ def path_parameters(spark, sf):
     return store.path_parameters(o.select("o_orderkey", made.alias("path"))).drop("path")
 
 
+@query()
+def ice_enumerate_32(spark, sf):
+    """All states of 32 sites."""
+    return enumeration.ice_states(spark, pyrochlore((2, 0, 0), (0, 2, 0), (0, 0, 2))).select("lo")
+
+
 @query()
 def lanczos_ground_state(spark, sf):
     """Lowest five values on 32 sites with g = (1, -.2, -.2, -.2)."""

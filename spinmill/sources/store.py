@@ -52,16 +52,16 @@ def read_csv(spark: SparkSession, path: str, n_sites: int) -> DataFrame:
 
 def write_basis(states: DataFrame, path: str, n_sites: int, *, sectors: list[int] | None = None) -> None:
     """Sorted Parquet; by sector folders if sublattice masks are given, so that reading one prunes the others."""
-    ordered = states.repartitionByRange(*State.of(n_sites).order()).sortWithinPartitions(*State.of(n_sites).order())
-    writer = states
+    order = State.of(n_sites).order()
     if sectors:
         from ..operators.sectors import with_sector
 
-        writer = with_sector(ordered, sectors, n_sites)
-        keys = [c for c in writer.columns if re.fullmatch(r"s\d+", c)]
-        writer.write.mode("overwrite").partitionBy(*keys).parquet(path)
+        marked = with_sector(states, sectors, n_sites)
+        keys = [c for c in marked.columns if re.fullmatch(r"s\d+", c)]
+        # Ranges of sector and state: a task writes few sectors, and a large one is written by several tasks.
+        marked.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).parquet(path)
     else:
-        ordered.write.mode("overwrite").parquet(path)
+        states.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def read_basis(spark: SparkSession, path: str, n_sites: int, sector: list[int] | None = None) -> DataFrame:
