@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 # Fixed values of the query contracts.
 WS_WORD = r"[^\x20\x09-\x0D]+"
-#: The alphanumeric words of a text, before A-Z is lower-cased.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The alphanumeric words of a text, before A-Z is lower-cased: what the contract's class leaves, said by what it holds,
+#: which Java matches many times as fast as the complement of four ranges.
+ANY_CASE_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: For bytes.translate: A-Z lower-cased; every byte that ends an alphanumeric word becomes a space.

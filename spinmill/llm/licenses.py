@@ -104,7 +104,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kind = "array<struct<first:bigint,past:bigint,label:string,priority:int,weight:double,base:boolean>>"
     table = ", ".join(f"struct({_literal(la)} as label, array({', '.join(_literal(' ' + x) for x in k.split('|'))}) as kws, {_literal(rx)} as rx, {p} as priority, {w}D as weight, {str(b).lower()} as base)" for la, k, rx, p, w, b in rules())
     blanks = "length({0}) - length(replace({0}, ' ', ''))"
-    found = rf"""flatten(transform(filter(array({table}), r -> exists(r.kws, k -> contains(__norm, k))), r -> aggregate(
+    found = rf"""flatten(transform(filter(array({table}), r -> arrays_overlap(r.kws, __kws)), r -> aggregate(
         split(regexp_replace(__norm, r.rx, '\u0001$0\u0002'), '[\u0001\u0002]'),
         named_struct('at', 0L, 'odd', false, 'out', cast(array() as {kind})),
         (s, p) -> named_struct('at', s.at + {blanks.format("p")}, 'odd', not s.odd, 'out', if(s.odd, array_append(s.out,
@@ -128,6 +128,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_words", F.regexp_count(whole("__text"), F.lit(ANY_CASE_WORD)).cast("long"))
     words = F.regexp_extract_all(F.translate(whole("__text"), UPPER, LOWER), F.lit(ANY_CASE_WORD), F.lit(0))
     df = df.withColumn("__norm", F.when(passes, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(F.lit("")))
-    df = df.withColumn("__found", pinned(F.when(F.length("__norm") > 2, F.expr(found)).otherwise(F.expr(f"cast(array() as {kind})"))))
+    # Each keyword is sought once, however many rules have it.
+    keywords = ", ".join(_literal(" " + x) for x in sorted({x for _, k, *_ in rules() for x in k.split("|")}))
+    df = df.withColumn("__kws", pinned(F.expr(f"filter(array({keywords}), k -> contains(__norm, k))")))
+    df = df.withColumn("__found", pinned(F.when(F.size("__kws") > 0, F.expr(found)).otherwise(F.expr(f"cast(array() as {kind})"))))
     df = df.withColumn("detections", pinned(F.when(F.size("__found") > 0, F.expr(kept)).otherwise(F.expr(f"cast(array() as {kind})"))))
     return df.select(*[F.col("__row").getField(c).alias(c) for c in had], "n_words", "detections", F.size(F.filter("__found", lambda x: x["base"])).cast("long").alias("n_base"))
