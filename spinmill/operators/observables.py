@@ -41,11 +41,15 @@ def expectations(vectors: DataFrame, ops: list[OpSum], n_sites: int) -> DataFram
 
 
 def cross_correlations(vectors: DataFrame, ops: list[OpSum], n_sites: int) -> DataFrame:
-    """l, m, i, j, val = <op_l i | op_m j>."""
+    """l, m, i, j, val = <op_l i | op_m j>, real and so symmetric: one of each two mirrored pairs is summed."""
     a = applied(vectors, ops, n_sites)
     left = a.select(F.col("op").alias("l"), F.col("vec").alias("i"), *names(n_sites), "x")
     right = a.select(F.col("op").alias("m"), F.col("vec").alias("j"), *names(n_sites), F.col("x").alias("z"))
-    return left.join(right, names(n_sites)).groupBy("l", "m", "i", "j").agg(F.sum(F.col("x") * F.col("z")).alias("val"))
+    once = (F.col("l") < F.col("m")) | ((F.col("l") == F.col("m")) & (F.col("i") <= F.col("j")))
+    half = left.join(right, names(n_sites)).where(once).groupBy("l", "m", "i", "j").agg(F.sum(F.col("x") * F.col("z")).alias("val"))
+    own, other = F.struct("l", "m", "i", "j"), F.struct(F.col("m").alias("l"), F.col("l").alias("m"), F.col("j").alias("i"), F.col("i").alias("j"))
+    same = (F.col("l") == F.col("m")) & (F.col("i") == F.col("j"))
+    return half.select(F.explode(F.when(same, F.array(own)).otherwise(F.array(own, other))).alias("p"), "val").select("p.l", "p.m", "p.i", "p.j", "val")
 
 
 def ring_observables(vectors: DataFrame, rings: list[Term], n_sites: int) -> DataFrame:
