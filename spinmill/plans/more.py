@@ -74,7 +74,7 @@ _VOLUMES = OpSum()
 for _part, _sl in hamiltonians.partial_volumes(CELL16, 0):
     for _t, _c in _part.parts.items():
         _VOLUMES.add(float(_c) * (1 + _sl), _t)
-_FIELD = hamiltonians.field_hamiltonian(CELL16, 0.5, (0.25, -0.5, 0.75), repeated=False)
+_FIELD = hamiltonians.field_hamiltonian(CELL16, 0.31, (0.23, -0.47, 0.71), repeated=False)
 
 
 @query(f"WITH {STATES}, {values(_VOLUMES)} {applied_sql(_VOLUMES)}")
