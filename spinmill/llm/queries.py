@@ -51,7 +51,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    near = [F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256")]
+    return df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), *near)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +86,16 @@ sizes AS (SELECT DISTINCT n FROM win),
 grams AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT rid, i, grams.n, item FROM grams JOIN win ON win.n = grams.n AND win.g = grams.g),
 cover AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM hit) GROUP BY 1),
-items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY 1)
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY 1),
+post AS (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM d),
+bags AS (SELECT DISTINCT item, n, list_sort(w[i:i + n - 1]) AS g, n + n * {decontam.SLOP} // 10 AS r FROM p),
+rare AS (SELECT g, r, arg_min(t, coalesce(c, 0)) AS t FROM (SELECT g, r, unnest(g) AS t FROM (SELECT DISTINCT g, r FROM bags)) LEFT JOIN (SELECT t, count(*) AS c FROM post GROUP BY 1) USING (t) GROUP BY 1, 2),
+around AS (SELECT g, r, rid, i, w[greatest(i - r + 1, 1):i + r - 1] AS v, least(i, r) AS mid FROM rare JOIN post USING (t) JOIN d USING (rid) WHERE list_has_all(w[greatest(i - r + 1, 1):i + r - 1], g)),
+stretch AS (SELECT g, rid, v[k:k + r - 1] AS v FROM (SELECT *, unnest(range(1, mid + 1)) AS k FROM around)),
+close AS (SELECT DISTINCT rid, g FROM stretch WHERE list_has_all(v, g) AND len(list_filter(list_distinct(g), lambda t: len(list_filter(v, lambda x: x = t)) < len(list_filter(g, lambda x: x = t)))) = 0),
+near AS (SELECT rid, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT rid, item FROM close JOIN bags USING (g)) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid)""",
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near, '')) AS near_items_sha256
+FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)""",
 }

@@ -1,7 +1,8 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
-import numpy as np
 import pytest
 
 from spinmill.llm import decontam as dc
@@ -67,12 +68,57 @@ def test_query_finds_planted_passages(spark, sf):
     assert op6_decontaminate(spark, sf).where("contaminated").count() > 0
 
 
-def test_proximity():
-    words = "a b c x x x c x b a x x x x b x x x a".split()
-    ids = np.array([dc.term_id(w.encode()) for w in words])
-    terms, inverse = np.unique(ids, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    seg = dc.Segment(terms, np.searchsorted(inverse[order], np.arange(len(terms) + 1)), order)
-    q = np.array([dc.term_id(w) for w in (b"c", b"a", b"b")])
-    assert seg.proximity(q, 0).tolist() == [2] and seg.proximity(q, 1).tolist() == [2, 6]
-    assert seg.proximity(np.array([dc.term_id(b"zz")]), 3).tolist() == []
+def shortest(own, window, reach):
+    """Stretches [a, z) that hold the window's words as often as it does, with none within."""
+    want, out = Counter(window), []
+    for a in range(len(own)):
+        z = next((z for z in range(a + len(window), min(a + reach, len(own)) + 1) if not want - Counter(own[a:z])), None)
+        if z is not None and want - Counter(own[a + 1 : z]):
+            out.append((a, z))
+    return out
+
+
+def brute_near(texts, items, window=10, slop=3):
+    out = []
+    for t in texts:
+        own, hit, names = words_of(t), set(), set()
+        for name, text in items:
+            w = words_of(text)
+            n = min(window, len(w))
+            for win in {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if name is not None and w else ():
+                for a, z in shortest(own, win, n + n * slop // 10):
+                    hit.update(range(a, z))
+                    names.add(str(name))
+        out.append((sorted(names), sorted(hit)))
+    return out
+
+
+def shaken(text, rng):
+    """Words swapped with their neighbours and others put in."""
+    w = text.split()
+    for _ in range(len(w) // 4):
+        i = rng.randrange(len(w) - 1)
+        w[i], w[i + 1] = w[i + 1], w[i]
+        w.insert(rng.randrange(len(w)), rng.choice(["between", w[0]]))
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("slop", [0, 3])
+def test_proximity_against_brute_force(spark, rows, odd_rows, slop):
+    items = items_of(rows[:80]) + [(20, "the the a"), (21, "a b a b c a")]
+    rng = random.Random(5)
+    texts = [shaken(t, rng) for _, t in items if t and len(t.split()) > 3 for _ in range(6)] + [r["text"] for r in [*odd_rows, *rows[:20]]]
+    texts += ["b a x a b c a a", "a b b a a c", "c a a b x x a b", "the a the", "the a x the", "One x two", "two One"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2)
+    got = {r["doc_id"]: r for r in dc.contamination(docs, spark.createDataFrame(items, "item_id int, text string"), slop=slop).collect()}
+    want = brute_near(texts, items, slop=slop)
+    for k, (names, hit) in enumerate(want):
+        assert (got[k]["near_items"], [i for s in got[k]["near_spans"] for i in range(s["first"], s["past"])]) == (names, hit), k
+    more = sum(set(r["near_items"]) > set(r["items"]) for r in got.values())
+    assert more > (5 if slop else 0)
+    assert all(set(r["near_items"]) >= set(r["items"]) for r in got.values())
+
+
+def test_reach_is_bounded(spark, frame, odd_rows):
+    with pytest.raises(ValueError):
+        dc.contamination(frame(odd_rows), spark.createDataFrame([(1, "a b")], "item_id int, text string"), window=60)
