@@ -1,11 +1,12 @@
 """Command line: bases, closures, sectors, eigenpairs and expectation values from lattice files.
 
-    python -m spinmill basis LATTICE [--pairs N] [--order greedy] [--sector 4.4.4.4] [--partition] [--format parquet]
+    python -m spinmill basis LATTICE [--pairs N] [--order greedy] [--sector 4.4.4.4] [--partition] [--format parquet] [--frontiers FOLDER]
     python -m spinmill closure LATTICE SEED [--out PATH]
     python -m spinmill diag LATTICE (--g A,B,C,D | --jpm J --field X,Y,Z) [--n 1] [--pairs N] [--drop-null] [--save-matrix]
     python -m spinmill observables LATTICE EIGEN [--what ring,cross,flip] [--vector N]
     python -m spinmill merge LATTICE SHARD... [--partition]
     python -m spinmill ring-normed LATTICE [--pairs N]
+    python -m spinmill thermal LATTICE (--g A,B,C,D | --jpm J --field X,Y,Z) --betas B,... [--samples N] [--pairs N] [--by-sector]
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def numbers(text: str) -> list[float]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="spinmill")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("basis", "closure", "diag", "observables", "merge", "ring-normed"):
+    for name in ("basis", "closure", "diag", "observables", "merge", "ring-normed", "thermal"):
         c = sub.add_parser(name)
         c.add_argument("lattice")
         c.add_argument("--pairs", type=int, default=0)
@@ -39,14 +40,20 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--order", choices=["none", "greedy", "random"], default="greedy")
             c.add_argument("--seed", type=int, default=0)
             c.add_argument("--sector")
+            c.add_argument("--frontiers")
             c.add_argument("--partition", action="store_true")
             c.add_argument("--format", choices=["parquet", "csv"], default="parquet")
         if name == "closure":
             c.add_argument("start")
-        if name == "diag":
+        if name in ("diag", "thermal"):
             c.add_argument("--g", type=numbers)
             c.add_argument("--jpm", type=float)
             c.add_argument("--field", type=numbers)
+        if name == "thermal":
+            c.add_argument("--betas", type=numbers, required=True)
+            c.add_argument("--samples", type=int, default=10)
+            c.add_argument("--by-sector", action="store_true")
+        if name == "diag":
             c.add_argument("--n", type=int, default=1)
             c.add_argument("--krylov", type=int, default=200)
             c.add_argument("--tolerance", type=float, default=1e-12)
@@ -70,7 +77,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     n = lat.n_sites
     if a.command == "basis":
         sector = [int(x) for x in a.sector.split(".")] if a.sector else None
-        states = enumeration.ice_states(spark, lat, order=a.order, budget=a.pairs, sector=sector, seed=a.seed)
+        states = enumeration.ice_states(spark, lat, order=a.order, budget=a.pairs, sector=sector, seed=a.seed, frontiers=a.frontiers)
         out = a.out or store.basis_path(a.lattice, a.pairs, a.partition, a.format)
         if a.format == "csv":
             store.write_csv(states, out, n)
@@ -82,11 +89,22 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         out = a.out or store.basis_path(a.lattice, a.pairs)
         store.write_basis(enumeration.closure(spark, n, [enumeration.parse_seed(a.start)], rings), out, n)
         return out
-    if a.command == "diag":
+    if a.command in ("diag", "thermal"):
         if (a.g is None) == (a.jpm is None or a.field is None):
             raise SystemExit("either --g, or --jpm and --field")
         ops = hamiltonians.ring_hamiltonian(lat, a.g) if a.g else hamiltonians.field_hamiltonian(lat, a.jpm, tuple(a.field))
         basis = store.read_basis(spark, store.basis_path(a.lattice, a.pairs), n)
+    if a.command == "thermal":
+        runs = {"all": basis}
+        if a.by_sector:
+            masks = lat.sublattice_masks()
+            marked = sectors.with_sector(basis, masks, n)
+            keys = [f"s{k}" for k in range(len(masks))]
+            runs = {".".join(map(str, r)): reduce(lambda df, kv: df.where(F.col(kv[0]) == kv[1]), zip(keys, r), marked).select(*names(n)) for r in sorted(tuple(r) for r in marked.select(*keys).distinct().collect())}
+        out = a.out or f"{a.lattice.removesuffix('.json')}.{a.pairs}.thermal"
+        krylov.thermal_runs(runs, ops, n, a.betas, a.samples, out)
+        return out
+    if a.command == "diag":
         basis = apply.not_annihilated(basis, ops, n) if a.drop_null else basis
         values, vectors = krylov.eigenpairs(basis, ops, n, a.n, krylov.Settings(krylov_dim=a.krylov, tol_value=a.tolerance, seed=a.rng))
         tag = "g=" + ",".join(map(str, a.g)) if a.g else f"Jpm={a.jpm}%" + "%".join(f"B{k}={b}" for k, b in zip("xyz", a.field))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark import StorageLevel
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import OpSum
 from ..functions.bits import State, names, signed
 from ..sources.lattice import Lattice
+from ..sources.store import checkpoint_folder, written
 from .apply import images
 
 #: Levels between exchanges of the frontier. A level is a narrow step; the frontier is dealt out anew now and then.
@@ -23,8 +25,6 @@ TASK_ROWS = 500_000
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut off from its lineage in the shared checkpoint folder, so that lost executors don't matter."""
-    from ..sources.store import checkpoint_folder
-
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -43,7 +43,7 @@ def _violated(state: State, constraints, k: int, order_pos: dict[int, int], valu
 
 def enumerate_states(
     spark: SparkSession, n_sites: int, constraints: list[tuple[int, int, int]], *, order: list[int] | None = None, budget: int = 0,
-    sector: list[tuple[int, int]] | None = None, deal: int | None = None, deal_every: int = DEAL_EVERY,
+    sector: list[tuple[int, int]] | None = None, deal: int | None = None, deal_every: int = DEAL_EVERY, frontiers: str | None = None,
 ) -> DataFrame:
     """States (lo, hi) that meet the constraints (mask, least, most up), and `pairs`, the violations they were allowed.
 
@@ -56,7 +56,14 @@ def enumerate_states(
     cols = names(n_sites)
     df = spark.createDataFrame([tuple([0] * (len(cols) + 1))], ", ".join(f"{c} bigint" for c in [*cols, "pairs"]))
     deal = deal or spark.sparkContext.defaultParallelism
-    for k, site in enumerate(order):
+    begin = 0
+    if frontiers:
+        frontiers = f"{frontiers}/{hashlib.sha256(repr((n_sites, constraints, order, budget, sector)).encode()).hexdigest()[:16]}"
+        # Reached where the frontier was written to its end.
+        begin = max((k + 1 for k in range(n_sites - 1) if (k + 1) % deal_every == 0 and written(spark, f"{frontiers}/{k + 1}")), default=0)
+        df = spark.read.parquet(f"{frontiers}/{begin}").select(*df.columns) if begin else df
+        df = df.repartition(max(deal, math.ceil(df.count() / TASK_ROWS))) if begin else df
+    for k, site in list(enumerate(order))[begin:]:
         state = State.of(n_sites)
         grown = df.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("v"), *cols, "pairs")
         word = state.words[site // 64]
@@ -71,22 +78,26 @@ def enumerate_states(
         df = grown.select(*cols, "pairs")
         if (k + 1) % deal_every == 0 and k + 1 < n_sites:
             # The frontier is spread over the cluster, and the plan cut so that it stays short.
-            df = checkpointed(df)
+            if frontiers:
+                df.write.mode("overwrite").parquet(f"{frontiers}/{k + 1}")
+                df = spark.read.parquet(f"{frontiers}/{k + 1}").select(*df.columns)
+            else:
+                df = checkpointed(df)
             df = df.repartition(max(deal, math.ceil(df.count() / TASK_ROWS)))
     for mask, up in sector or []:
         df = df.where(State.of(n_sites).popcount(mask) == up)
     return df
 
 
-def ice_states(spark: SparkSession, lat: Lattice, *, order: str = "greedy", budget: int = 0, sector: list[int] | None = None, seed: int = 0) -> DataFrame:
-    """States of a lattice's tetrahedra; sector: spins up by sublattice."""
+def ice_states(spark: SparkSession, lat: Lattice, *, order: str = "greedy", budget: int = 0, sector: list[int] | None = None, seed: int = 0, frontiers: str | None = None) -> DataFrame:
+    """States of a lattice's tetrahedra; sector: spins up by sublattice; frontiers: folder for going on after a stop."""
     want = None
     if sector is not None:
         masks = lat.sublattice_masks()
         if len(sector) != len(masks):
             raise ValueError(f"the sector has {len(sector)} numbers, the lattice {len(masks)} sublattices")
         want = list(zip(masks, sector))
-    return enumerate_states(spark, lat.n_sites, lat.constraints(), order=lat.order(order, seed), budget=budget, sector=want)
+    return enumerate_states(spark, lat.n_sites, lat.constraints(), order=lat.order(order, seed), budget=budget, sector=want, frontiers=frontiers)
 
 
 def frontier_sizes(lat: Lattice, order: list[int]) -> list[int]:

@@ -281,6 +281,17 @@ def block_lanczos(matvec, v: np.ndarray, k: int, s: Settings) -> tuple[np.ndarra
     return e[:k], q[:, :k]
 
 
+def _exponential_weights(alphas, betas, tau: float) -> tuple[np.ndarray, float]:
+    """exp(tau T) of the first unit vector, less a factor, and that factor's logarithm."""
+    e, u = tridiagonal(alphas, betas)
+    top = (tau * e).max()
+    return u @ (np.exp(tau * e - top) * u[0]), float(top)
+
+
+def _settled(c: np.ndarray, old: np.ndarray | None) -> bool:
+    return old is not None and bool(np.linalg.norm(c - np.append(old, 0.0)) < 1e-13 * np.linalg.norm(c))
+
+
 def exponential(matvec, v: np.ndarray, tau: float, s: Settings | None = None) -> np.ndarray:
     """exp(tau A) v for a symmetric matvec."""
     s = s or Settings()
@@ -297,16 +308,88 @@ def exponential(matvec, v: np.ndarray, tau: float, s: Settings | None = None) ->
         for _ in range(2):
             w = w - q.T @ (q @ w)
         beta = float(np.linalg.norm(w))
-        e, u = tridiagonal(alphas, betas)
-        top = (tau * e).max()
-        c = u @ (np.exp(tau * e - top) * u[0])
-        if beta < 1e-12 or len(alphas) >= min(s.krylov_dim, len(v)) or (old is not None and np.linalg.norm(c - np.append(old, 0.0)) < 1e-13 * np.linalg.norm(c)):
+        c, top = _exponential_weights(alphas, betas, tau)
+        if beta < 1e-12 or len(alphas) >= min(s.krylov_dim, len(v)) or _settled(c, old):
             return size * np.exp(top) * (q.T @ c)
         old = c
         betas.append(beta)
         basis.append(w / beta)
 
 
+def distributed_exponential(v: DataFrame, ops: OpSum, n_sites: int, tau: float, s: Settings | None = None) -> tuple[DataFrame, float]:
+    """(u, a) with exp(tau A) v = e^a u over DataFrames; the states of v are the basis.
+
+    A row for each state holds its entries of all Krylov vectors, as in distributed_eigenpairs; each step is one
+    application, one join on the state and two aggregates, and is written to the checkpoint folder.
+    """
+    s, cols = s or Settings(), names(n_sites)
+    size = norm(v)
+    if size == 0.0 or tau == 0.0:
+        return v.select(*cols, "x"), 0.0
+    space = checkpointed(v.select(*cols, F.array(F.col("x") / F.lit(size)).alias("q")))
+    basis = space.select(*cols)
+    alphas, betas, old = [], [], None
+    while True:
+        done = len(alphas)
+        w = apply(space.select(*cols, F.get("q", F.lit(done)).alias("x")), ops, n_sites, basis=basis).withColumnRenamed("x", "w")
+        space = checkpointed(space.join(w, cols, "left").select(*cols, "q", F.coalesce("w", F.lit(0.0)).alias("w")))
+        first, _ = _products(space, "q", done + 1, F.col("w"))
+        rest = F.col("w") - _weighted("q", first)
+        again, left = _products(space, "q", done + 1, rest)
+        rest, beta = rest - _weighted("q", again), np.sqrt(max(left - float(again @ again), 0.0))
+        alphas.append(float(first[done] + again[done]))
+        c, top = _exponential_weights(alphas, betas, tau)
+        if beta < 1e-10 * max(1.0, np.abs(alphas).max()) or len(alphas) >= s.krylov_dim or _settled(c, old):
+            return space.select(*cols, (F.lit(size) * _weighted("q", c)).alias("x")), top
+        old = c
+        betas.append(beta)
+        space = space.select(*cols, F.array_append("q", rest / F.lit(beta)).alias("q"))
+
+
+def distributed_thermal(basis: DataFrame, ops: OpSum, n_sites: int, observables: list[OpSum], betas: list[float], samples: int, s: Settings | None = None, *, starts: list[DataFrame] | None = None) -> list[dict]:
+    """As `thermal`, over DataFrames, for bases of any size. starts: vectors over the basis to take instead of random ones;
+    with a unit vector for each state the averages are exact."""
+    s = s or Settings()
+    tops, bottoms = [], []
+    for v in starts or [hashed_start(basis, n_sites, s.seed + r) for r in range(samples)]:
+        at, scale, up, down = 0.0, 0.0, [], []
+        for b in betas:
+            v, grown = distributed_exponential(v, ops, n_sites, -(b - at) / 2, s)
+            v = checkpointed(v)
+            size = norm(v)
+            v, scale, at = v.withColumn("x", F.col("x") / F.lit(size)), scale + grown + np.log(size), b
+            up.append([dot(v, apply(v, o, n_sites), n_sites) for o in (ops, *observables)])
+            down.append(2 * scale)
+        tops.append(up)
+        bottoms.append(down)
+    return _averaged(tops, bottoms, betas)
+
+
+def thermal_averages(basis: DataFrame, ops: OpSum, n_sites: int, observables: list[OpSum], betas: list[float], samples: int, s: Settings | None = None, *, local: int = LOCAL) -> list[dict]:
+    """Thermal averages: on the driver up to `local` states of one word, over DataFrames beyond."""
+    states = local_states(basis, n_sites, local)
+    if states is None:
+        return distributed_thermal(basis, ops, n_sites, observables, betas, samples, s)
+    return thermal(Local(states, ops).__matmul__, states, [Local(states, o).__matmul__ for o in observables], betas, samples, s)
+
+
+def thermal_runs(runs: dict[str, DataFrame], ops: OpSum, n_sites: int, betas: list[float], samples: int, path: str, s: Settings | None = None, *, local: int = LOCAL) -> list[str]:
+    """Energies by temperature of each named basis, such as a sector, as path/run=<name>; those that are there are left
+    alone. Returns the names that were run."""
+    from ..sources.store import written
+
+    made = []
+    for name, basis in runs.items():
+        spark = basis.sparkSession
+        if written(spark, f"{path}/run={name}"):
+            continue
+        out = thermal_averages(basis, ops, n_sites, [], betas, samples, s, local=local)
+        rows = [(r["beta"], r["mean"][0], r["error"][0]) for r in out]
+        spark.createDataFrame(rows, "beta double, energy double, error double").coalesce(1).write.mode("overwrite").parquet(f"{path}/run={name}")
+        made.append(name)
+    return made
+
+
 def thermal(matvec, states: np.ndarray, observables: list, betas: list[float], samples: int, s: Settings | None = None) -> list[dict]:
     """Averages by random vectors: sum <r| e^(-bH/2) O e^(-bH/2) |r> over sum <r| e^(-bH) |r>, energy first, with errors.
 
@@ -324,6 +407,11 @@ def thermal(matvec, states: np.ndarray, observables: list, betas: list[float], s
             down.append(2 * scale)
         tops.append(up)
         bottoms.append(down)
+    return _averaged(tops, bottoms, betas)
+
+
+def _averaged(tops: list, bottoms: list, betas: list[float]) -> list[dict]:
+    """Means and errors over samples, whose weights are given by their logarithms."""
     logs, values = np.array(bottoms), np.array(tops)
     weight = np.exp(logs - logs.max(axis=0))
     total = weight.sum(axis=0)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.algebra import OpSum
 from ..functions.bits import State, names
+from .apply import images
 
 
 def with_sector(states: DataFrame, masks: list[int], n_sites: int) -> DataFrame:
@@ -94,3 +99,34 @@ def orbits(states: DataFrame, permutations: list[list[int]], n_sites: int) -> Da
 def load(applied: DataFrame) -> DataFrame:
     """Rows by task: how evenly work is spread."""
     return applied.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("work"))
+
+
+def weighted_targets(total: int, scores: list[int]) -> list[int]:
+    """Rows for each task in proportion to whole-number scores, rounded down; the last has what is left."""
+    own = [s * total // sum(scores) for s in scores[:-1]]
+    return [*own, total - sum(own)]
+
+
+def transfers(have: list[int], want: list[int]) -> list[tuple[int, int, int]]:
+    """(from, to, rows) that turn one division of the sorted rows into another: how far their ranges overlap."""
+    a, b = [0, *accumulate(have)], [0, *accumulate(want)]
+    if a[-1] != b[-1]:
+        raise ValueError(f"{a[-1]} rows can't be dealt as {b[-1]}")
+    over = ((i, j, min(a[i + 1], b[j + 1]) - max(a[i], b[j])) for i in range(len(have)) for j in range(len(want)))
+    return [(i, j, n) for i, j, n in over if n > 0]
+
+
+def weighted_bounds(states: DataFrame, scores: list[int], n_sites: int) -> DataFrame:
+    """part, first and last row, n: the sorted states divided in proportion to the scores."""
+    rows = numbered(states, n_sites).withColumn("row", F.col("place") - 1)
+    ends = list(accumulate(weighted_targets(rows.count(), scores)))
+    part = sum((F.when(F.col("row") >= end, 1).otherwise(0) for end in ends[:-1]), F.lit(0))
+    return rows.groupBy(part.alias("part")).agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("n"))
+
+
+def traffic(states: DataFrame, ops: OpSum, n_sites: int, owner: Callable[..., Column]) -> DataFrame:
+    """source, target, n: images by the owner of the state they come from and of their own; owner maps a state's words to
+    a column."""
+    made = images(states.select(*names(n_sites)), ops, n_sites)
+    cols = names(n_sites)
+    return made.groupBy(owner(*[F.col(f"from_{c}") for c in cols]).alias("source"), owner(*[F.col(c) for c in cols]).alias("target")).agg(F.count("*").alias("n"))

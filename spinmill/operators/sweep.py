@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.couplings import ring_couplings
+
 
 def near(a: Column, b: Column, tol: float) -> Column:
     return F.abs(a - b) <= tol
@@ -86,6 +88,11 @@ def lowest(results: DataFrame, e: str, n: int, ties: list[str]) -> DataFrame:
     return results.orderBy(e, *ties).limit(n)
 
 
+def lowest_by_sector(results: DataFrame, e: str, n: int, ties: list[str], sector: str = "sector") -> DataFrame:
+    """How many of the n lowest rows each sector has, and its lowest."""
+    return lowest(results, e, n, ties).groupBy(sector).agg(F.count("*").alias("n"), F.min(e).alias("lowest"))
+
+
 def best_sectors(results: DataFrame, x: str, e: str, n: int, ties: list[str]) -> DataFrame:
     """The n lowest rows of each x, with their place."""
     w = Window.partitionBy(x).orderBy(e, *ties)
@@ -114,6 +121,33 @@ def grid(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(F.broadcast(right))
 
 
+def phase_diagram(curve: DataFrame, x: str, y: str, jpm: list[float], fields: list[float], direction: tuple[float, float, float]) -> DataFrame:
+    """jpm, b, ratio and y over a grid of couplings: y by a spline through the curve at the ratio of the first ring
+    coupling to the last, null outside it. The field points along the direction. The grid is a list of parameters."""
+    size = sum(c * c for c in direction) ** 0.5
+    points = []
+    for j in jpm:
+        for b in fields:
+            g = ring_couplings(j, [b * c / size for c in direction])
+            points.append((float(j), float(b), float(g[0] / g[3]) if g[3] else None))
+    at = sorted({r for _, _, r in points if r is not None})
+    one = interpolated(curve.select(F.lit(0).alias("key"), F.col(x).alias("ratio"), F.col(y).alias("value")), "key", "ratio", "value", at)
+    plan = curve.sparkSession.createDataFrame(points, "jpm double, b double, ratio double")
+    value = F.when(~F.isnan("value"), F.col("value")).alias(y)
+    return plan.join(F.broadcast(one.select("ratio", "value")), "ratio", "left").select("jpm", "b", "ratio", value)
+
+
+def split_by_size(plan: DataFrame, size: str, least: int = 100_000) -> DataFrame:
+    """The plan with large: whether a run's basis has at least so many states."""
+    return plan.withColumn("large", F.col(size) >= least)
+
+
+def supercell_plan(lattices: DataFrame, path: str = "path", cells: str = "cells", below: int = 17) -> DataFrame:
+    """The command for each lattice of fewer cells than the bound; cells may end in a sign that isn't a digit."""
+    small = F.regexp_extract(F.col(cells).cast("string"), r"^\s*(\d+)", 1).cast("int") < below
+    return lattices.where(small).select(path, F.concat(F.lit("python -m spinmill basis "), F.col(path)).alias("command"))
+
+
 def one_sector(results: DataFrame, sector: str = "sector") -> DataFrame:
     return results.agg((F.count_distinct(sector) == 1).alias("unique"))
 

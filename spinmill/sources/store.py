@@ -15,10 +15,32 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; one of our own only where it is unset, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spinmill-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spinmill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there to its end."""
+    fs, where = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(where)
+
+
+def listing(spark: SparkSession, path: str, prefix: str = "basis") -> DataFrame:
+    """name and rows of each Parquet table under path whose name starts with the prefix; rows come from the files' ends."""
+    fs, where = _file_system(spark, path)
+    found = sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory() and f.getPath().getName().startswith(prefix))
+    sizes = [(n, spark.read.parquet(f"{path}/{n}").count()) for n in found if written(spark, f"{path}/{n}")]
+    return spark.createDataFrame(sizes, "name string, rows bigint")
+
+
 def basis_path(lattice: str, n_pairs: int = 0, partitioned: bool = False, kind: str = "parquet") -> str:
     """`<lattice>.<pairs>.basis[.partitioned].<kind>` beside the lattice's file."""
     return f"{re.sub(r'[.]json$', '', lattice)}.{n_pairs}.basis{'.partitioned' if partitioned else ''}.{kind}"
@@ -76,6 +98,14 @@ def read_basis(spark: SparkSession, path: str, n_sites: int, sector: list[int] |
     return df.select(*names(n_sites))
 
 
+def write_values(spark: SparkSession, path: str, **values) -> None:
+    """Named numbers and texts as one row; a complex number is a struct of re and im."""
+    kinds = {int: "bigint", float: "double", str: "string", complex: "struct<re:double,im:double>"}
+    row = tuple((v.real, v.imag) if isinstance(v, complex) else v for v in values.values())
+    schema = ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items())
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def manifest(states: DataFrame, by: list[str]) -> DataFrame:
     """Rows and files of each sector, from the files read."""
     return states.withColumn("file", F.input_file_name()).groupBy(*by).agg(F.count("*").alias("size"), F.sort_array(F.collect_set("file")).alias("shards"))

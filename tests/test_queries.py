@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from spinmill.plans import catalog, more  # noqa: F401
+from spinmill.plans import catalog, more, runs  # noqa: F401
 
 
 @pytest.fixture(scope="module")
