@@ -296,7 +296,9 @@ class Vocabulary:
         n = len(self.first) - 1
         if not self.size:
             return ids, counts
-        for s, own in groups(vocabulary_shard(hashes, n)):
+        ascending = np.argsort(hashes)
+        for s, own in groups(vocabulary_shard(hashes[ascending], n)):
+            own = ascending[own]
             if self.first[s] == self.first[s + 1]:
                 continue
             at = self.shard(int(s))[0].find(hashes[own])
@@ -351,6 +353,17 @@ def runs(sorted_columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def distinct(x: np.ndarray, y: np.ndarray, most: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The distinct pairs of x and y (below most), ascending, and which of them stands in each place."""
+    key = x * most + y
+    order = np.argsort(key)
+    key = key[order]
+    at = runs([key])
+    of = np.empty(len(key), np.int64)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+    return (key[at] // most, key[at] % most), of
+
+
 def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows, in order of the first column, then the next, with their sums."""
     if len(columns) == 3 and len(counts) and (int(columns[0].max()) + 1) * (int(columns[1].max()) + 1) < 2**62 and len(counts) * (int(columns[2].max()) + 1) < 2**62:
@@ -546,47 +559,56 @@ class Trie:
         """For each token: its count in training, the unigram and the trie's log10 probability."""
         n, v, begin = self.m["tokens"], self.m["types"], len(hashes)
         ids, seen = self.words.lookup(hashes)
-        after = self.words.backoff(np.append(ids, self.words.size))
-        base = (seen + 0.5) / (n + 0.5 * (v + 1))
+        # The chunk's words are numbered as their ids ascend: what is searched then lies in the order of the levels.
+        order = np.argsort(ids)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(begin)
+        ids, seen, number = np.append(ids[order], self.words.size), seen[order], rank[number]  # the last is a text's begin
+        after = self.words.backoff(ids)
+        p1 = ((seen + 0.5) / (n + 0.5 * (v + 1)))[number]
         frequent = np.append(seen > self.m["frequent"], True)
-        p1, ids = base[number], np.append(ids, self.words.size)  # by number; the last is a text's begin
+        unknown = int((ids < 0).sum())
+        known = number >= unknown
         starts = np.cumsum(counts) - counts
         w1 = np.empty_like(number)
         w1[1:], w1[starts] = number[:-1], begin
-        first = np.zeros(len(number) + 1, bool)
-        first[starts] = first[-1] = True
-        known = ids[number] >= 0
-        # Pairs that end at a token, which are the next token's contexts; they go to their shard together.
-        live = np.flatnonzero(known & (ids[w1] >= 0))
-        a, b = np.append(w1[live], begin), np.append(number[live], begin)
-        live = np.append(live, -1)  # the last pair, of two begins, is the context of all first tokens
+        # Each distinct pair is searched once; the last, of two begins, is the context of all first tokens.
+        live = np.flatnonzero(known & (w1 >= unknown))
+        (a, b), pair_of = distinct(np.append(w1[live], begin), np.append(number[live], begin), begin + 1)
+        context = np.full(len(number) + 1, -1)
+        context[live + 1] = pair_of[:-1]
+        context[starts] = pair_of[-1]
+        context = context[:-1]
+        # And so is each word after one.
+        after_pair = np.flatnonzero((context >= 0) & known)
+        (before, c), triple_of = distinct(context[after_pair], number[after_pair], begin + 1)
         where = context_shard(ids[a], ids[b], frequent[a], self.m["shards"])
-        order = np.argsort(where * (begin + 1) + a)
-        at = np.append(runs([where[order]]), len(order))
-        p2, p3, back, met = (np.zeros(len(number)), np.zeros(len(number)), np.ones(len(number)), np.zeros(len(number), bool))
-        for x, y in zip(at, at[1:]):
-            t = self.shard(int(where[order[x]]))
+        third = dict(groups(where[before]))
+        q2, back, met, lo, hi = np.zeros(len(a)), np.ones(len(a)), np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        q3 = np.zeros(len(c))
+        for s, own in groups(where):
+            t = self.shard(s)
             if t is None:
                 continue
-            own = order[x:y]
             new = runs([a[own]])
             size = np.diff(np.append(new, len(own)))
             place = t["a"].find(ids[a[own[new]]])
-            lo, hi = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            lo[place >= 0], hi[place >= 0] = t["a.next"].span(place[place >= 0])
-            rank = t["b"].find(np.repeat(lo, size), np.repeat(hi, size), ids[b[own]])
-            own, rank = live[own[rank >= 0]], rank[rank >= 0]
-            p2[own[own >= 0]] = restored(t["b.q"][rank[own >= 0]])
-            follow = np.flatnonzero(~first[own + 1] & (own >= 0))
-            token, rank_of = own[follow] + 1, rank[follow]
-            if (own < 0).any():
-                token, rank_of = np.append(token, starts), np.append(rank_of, np.full(len(starts), rank[own < 0][0]))
-            met[token], back[token] = True, restored(t["b.back"][rank_of])
-            token, rank_of = token[known[token]], rank_of[known[token]]
-            found = t["c"].find(*t["b.next"].span(rank_of), ids[number[token]])
-            p3[token[found >= 0]] = restored(t["c.q"][found[found >= 0]])
+            first, past = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            first[place >= 0], past[place >= 0] = t["a.next"].span(place[place >= 0])
+            at = t["b"].find(np.repeat(first, size), np.repeat(past, size), ids[b[own]])
+            own, at = own[at >= 0], at[at >= 0]
+            q2[own], back[own], met[own] = restored(t["b.q"][at]), restored(t["b.back"][at]), True
+            lo[own], hi[own] = t["b.next"].span(at)
+            own = third.get(s, np.zeros(0, np.int64))
+            own = own[met[before[own]]]
+            at = t["c"].find(lo[before[own]], hi[before[own]], ids[c[own]])
+            q3[own[at >= 0]] = restored(t["c.q"][at[at >= 0]])
+        p2, p3 = np.zeros(len(number)), np.zeros(len(number))
+        p2[live] = q2[pair_of[:-1]]
+        p3[after_pair] = q3[triple_of]
         two = p2 + after[w1] * p1
-        return seen[number], np.log10(p1), np.log10(np.where(met, p3 + back * two, two))
+        longer = (context >= 0) & met[context]
+        return seen[number], np.log10(p1), np.log10(np.where(longer, p3 + back[context] * two, two))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
