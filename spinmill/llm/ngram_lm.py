@@ -15,16 +15,19 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, ws_words
+from .common import scratch
 
 #: Tokens of training text for each shard, so that a shard's size doesn't grow with the corpus.
 SHARD_TOKENS = 2_000_000
 #: Tokens that a task counts before it passes sums on, and those it holds as words at a time.
 FLUSH, CHUNK = 1_500_000, 800_000
+#: Bytes that a word and its blank are reckoned at.
+BYTES = 6
 #: A word with more than a shard's tokens over this is frequent.
 FREQUENT = 8
 #: Shards that a task keeps open at a time.
@@ -391,21 +394,35 @@ def unplaned(raw: bytes, kind) -> np.ndarray:
 
 
 def chunks(batches, column: str = "text", size: int = CHUNK):
-    """(hashes of the distinct words and END, number of each token, tokens of each text) of some texts at a time."""
-    import pandas as pd
-
+    """(batch, its first text, hashes of the distinct words and END, number of each token, tokens of each text) of some
+    texts at a time, by their bytes."""
     for batch in batches:
-        words, counts, first = [], [], 0
-        for i, value in enumerate(batch.column(column)):
-            own = ws_words(value.as_py())
-            words += own
-            words.append(b"")
-            counts.append(len(own) + 1)
-            if len(words) >= size or i == batch.num_rows - 1:
-                number, distinct = pd.factorize(np.array(words, object))
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-                yield batch, first, hashes, number, np.array(counts, np.int64)
-                words, counts, first = [], [], i + 1
+        texts = pc.fill_null(batch.column(column), "")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // (size * BYTES)
+        at = np.append(runs([part]), len(part))
+        for first, past in zip(at, at[1:]):
+            yield batch, int(first), *_tokens(texts.slice(first, past - first))
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words are cut at the six ASCII blanks and A-Z lower-cased; a text without any is split into one empty word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    coded = lists.flatten().dictionary_encode()
+    distinct, number = coded.dictionary.cast(pa.binary() if pa.types.is_string(coded.dictionary.type) else pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [*distinct, b""]), np.uint64, len(distinct) + 1)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    if b"" in distinct:
+        # Blank texts are their end alone; the empty word and the end are one.
+        end = distinct.index(b"")
+        hashes = hashes[:-1]
+        first = np.cumsum(counts) - counts
+        empty = (counts == 1) & (number[np.minimum(first, len(number) - 1)] == end)
+    else:
+        end = len(distinct)
+    # An end after each text's last word.
+    number = np.insert(number.astype(np.int64), np.cumsum(counts)[~empty], end)
+    return hashes, number, counts + ~empty
 
 
 def _packed(shards: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, kind=np.uint32):
@@ -424,7 +441,7 @@ def train(docs: DataFrame, text_col: str = "text", *, shard_tokens: int = SHARD_
     spark = docs.sparkSession
     src = docs.select(F.col(text_col).alias("text"))
     row = src.agg(F.count("*").alias("docs"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).first()
-    n = max(1, math.ceil((row["bytes"] or 0) / 6 / shard_tokens))
+    n = max(1, math.ceil((row["bytes"] or 0) / BYTES / shard_tokens))
     folder = local_path(scratch(spark, "trie"))
 
     def count_words(batches):
