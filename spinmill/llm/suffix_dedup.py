@@ -218,9 +218,10 @@ def order_of_names(names: np.ndarray, depth: int) -> list[np.ndarray]:
             break
         after = np.append(rank[h:], np.zeros(min(h, len(rank)), np.int64))
         key = rank * (int(rank.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, however they come to lie
+        key = key[order]
         new = np.ones(len(key), np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = key[1:] != key[:-1]
         rank = np.empty_like(key)
         rank[order] = np.cumsum(new)
         levels.append(rank)
@@ -260,7 +261,7 @@ def suffix_order(t: np.ndarray, cap: int, folder: str, bound: int = IN_MEMORY):
     if not len(minima):
         yield from inducer.sort(minima, np.zeros(0, np.int16))
         return
-    rough = minima[np.argsort(t[minima], kind="stable")]
+    rough = minima[np.argsort(t[minima].astype(np.uint16), kind="stable")]
     lowest = np.zeros(len(t), bool)
     lowest[minima] = True
     by_substring = np.concatenate([p[lowest[p]] for p, _ in inducer.sort(rough, np.zeros(len(rough), np.int16))])
