@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spinmill-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()

@@ -34,7 +34,7 @@ def term_id(word: bytes) -> int:
 class Windows:
     """The windows of a block of items: distinct sequences of terms, and the items that each belongs to."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, slop: int = SLOP):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, slop: int | None = SLOP):
         seen: dict[tuple[int, ...], set[int]] = {}
         self.names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
@@ -46,8 +46,8 @@ class Windows:
         self.terms = np.full((len(seen), window), -1, np.int64)
         for i, x in enumerate(seen):
             self.terms[i, : len(x)] = x
-        #: Words that a proximity match spans at most.
-        self.reach = self.lengths + self.lengths * slop // 10
+        #: Words that a proximity match spans at most; null: phrases alone.
+        self.reach = None if slop is None else self.lengths + self.lengths * slop // 10
         #: How many equal terms stand before each, and how many there are.
         self.nth, self.often = np.zeros(self.terms.shape, np.int8), np.zeros(self.terms.shape, np.int8)
         for j in range(window):
@@ -104,12 +104,12 @@ class Segment:
         window = np.repeat(np.arange(len(alive)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = self.positions[np.repeat(self.starts[lists], n) + within]
-        for j in range(1, w.terms.shape[1]):
+        for j in range(1, w.terms.shape[1] if w.reach is not None else 0):
             offset, reach = order[window, j], w.reach[alive[window]]
             check = offset < w.lengths[alive[window]]
             ok = ~check | (self.following(np.where(check, number[alive[window], offset], 0), at - reach + 1) < at + reach)
             window, at = window[ok], at[ok]
-        near = [self.stretches(w, number, alive[window[i : i + AT_ONCE]], at[i : i + AT_ONCE]) for i in range(0, len(at), AT_ONCE)]
+        near = [self.stretches(w, number, alive[window[i : i + AT_ONCE]], at[i : i + AT_ONCE]) for i in range(0, len(at) if w.reach is not None else 0, AT_ONCE)]
         near = np.unique(np.concatenate(near), axis=0) if near else np.zeros((0, 3), np.int64)
         first = at - order[window, 0]
         for j in range(1, w.terms.shape[1]):
@@ -223,17 +223,17 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block: int):
         yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, slop: int = SLOP, block: int = BLOCK) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, slop: int | None = SLOP, block: int = BLOCK) -> DataFrame:
     """id_col, n_words; exact phrases: n_hit, n_items, items_sha256, items (ids of the items found, sorted), spans (runs
     of hit words); proximity: near_items, near_spans.
 
     A proximity match of a window is a shortest stretch of words that holds all the window's, each as often, in any
     order, with at most `slop` tenths of the window's length of other words among them; exact phrases are such matches,
-    too. A word that was replaced by another isn't made up for.
+    too. A word that was replaced by another isn't made up for. With a null slop, phrases alone are sought.
     One row for each row of docs. Null texts have no words; items with a null id or no words are skipped; items that
     share an id are one. An empty benchmark finds nothing.
     """
-    if window + window * slop // 10 > GAP:
+    if window + window * (slop or 0) // 10 > GAP:
         raise ValueError(f"a window of {window} and {slop} tenths reaches over {GAP} words")
     spark = docs.sparkSession
     vocabulary: set[bytes] | None = set()

@@ -119,6 +119,15 @@ def test_proximity_against_brute_force(spark, rows, odd_rows, slop):
     assert all(set(r["near_items"]) >= set(r["items"]) for r in got.values())
 
 
+def test_phrases_alone(spark, frame, rows):
+    items = items_of(rows[:80])
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = dc.contamination(frame(rows[:80]), bench, slop=None).collect()
+    want = sorted(((r["doc_id"], *w) for r, w in zip(rows[:80], brute([r["text"] for r in rows[:80]], items))), key=str)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got), key=str) == want
+    assert all(not r["near_items"] and not r["near_spans"] for r in got)
+
+
 def test_reach_is_bounded(spark, frame, odd_rows):
     with pytest.raises(ValueError):
         dc.contamination(frame(odd_rows), spark.createDataFrame([(1, "a b")], "item_id int, text string"), window=60)
