@@ -63,7 +63,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows, row = numbered(spark, docs)
     path = scratch(spark, "hits")
     with passing(spark):
-        found = decontam.contamination(rows.select(F.col(row).alias("row"), "text"), table(spark, sf_dir, "benchmark"), "row")
+        found = decontam.contamination(rows.select(F.col(row).alias("row"), "text"), table(spark, sf_dir, "benchmark"), "row", slop=None)
         found.where("n_hit > 0").select("row").write.parquet(path)
     return without(rows, spark.read.parquet(path).withColumnRenamed("row", row), row).select(docs.columns)
 
