@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .common import WS_WORD, pinned, whole
 
@@ -51,8 +53,19 @@ def _features(buckets: int) -> Column:
 
 
 def _literal(values: list, kind: str) -> Column:
-    """An array as a constant of the plan; the optimizer folds it once."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    """An array of bigint or double as a constant of the plan, its values packed in one block.
+
+    Unlike a folded array of boxed values it doesn't print them: Spark describes a plan anew, several times over, whenever
+    a stage of it ends, and some MB of text in each description fill the driver's memory.
+    """
+    spark = SparkSession.active()
+    jvm, long = spark._jvm, kind == "bigint"
+    array = spark.sparkContext._gateway.new_array(jvm.long if long else jvm.double, len(values))
+    raw = jvm.java.nio.ByteBuffer.wrap(bytearray(struct.pack(f">{len(values)}{'q' if long else 'd'}", *values)))
+    (raw.asLongBuffer() if long else raw.asDoubleBuffer()).get(array)
+    catalyst = jvm.org.apache.spark.sql.catalyst.expressions
+    value = catalyst.Literal(catalyst.UnsafeArrayData.fromPrimitiveArray(array), jvm.org.apache.spark.sql.types.DataType.fromDDL(f"array<{kind}>"))
+    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(value))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:

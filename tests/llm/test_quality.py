@@ -94,3 +94,16 @@ def test_empty_tables(spark, frame, odd_rows):
     none = spark.createDataFrame([], "doc_id bigint")
     assert quality.quality_rules(frame([]), none).count() == 0
     assert all(r["log_ratio"] == 0 for r in quality.quality_rules(frame(odd_rows), none).collect())
+
+
+def test_constants_of_the_plan_are_exact_and_not_printed(spark, sf):
+    """Spark describes the plan whenever a stage of it ends; tables of 16,384 numbers in it filled the driver's memory."""
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+    from spinmill.llm.common import table
+
+    for kind, values in (("double", [0.1, -0.0, 1e-300, -7.25]), ("bigint", [0, -1, 2**62, -(2**63)])):
+        got = spark.range(4).select("id", F.get(quality._literal(values, kind), F.col("id").cast("int")).alias("x"))
+        assert [repr(r["x"]) for r in got.orderBy("id").collect()] == [repr(v) for v in values]
+    docs, ids = table(spark, sf, "documents"), cp.trusted_ids(spark, sf)
+    assert len(quality.quality_rules(docs, ids)._jdf.queryExecution().toString()) < 200_000
