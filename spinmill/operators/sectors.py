@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from itertools import accumulate
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import OpSum
 from ..functions.bits import State, names
+from ..sources.store import checkpoint_folder
 from .apply import images
 
 
@@ -34,14 +36,15 @@ def sorted_unique(states: DataFrame, n_sites: int) -> DataFrame:
 
 
 def numbered(states: DataFrame, n_sites: int) -> DataFrame:
-    """States with their place from 1 in unsigned order: places in range partitions, after the rows of those before.
+    """States with their place from 1 in unsigned order, nulls last: places in range partitions, after the rows of those before.
 
-    The partitions are written first, so that counting and numbering see the same.
+    The partitions are written first, so that counting and numbering see the same; the files stay in the checkpoint folder.
     """
-    from .enumeration import checkpointed
-
-    order = State.of(n_sites).order()
-    parts = checkpointed(states.select(*names(n_sites)).repartitionByRange(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()))
+    spark, order = states.sparkSession, [k.asc_nulls_last() for k in State.of(n_sites).order()]
+    path = f"{checkpoint_folder(spark)}/numbered-{uuid.uuid4().hex}.parquet"
+    dealt = states.select(*names(n_sites)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt.sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
     part = F.shiftrightunsigned("id", 33)
     sizes = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition

@@ -143,12 +143,9 @@ def known_exponential(spark, sf):
 @query(f"WITH {_WIDE} SELECT hi, lo, row_number() OVER (ORDER BY hi, lo) AS place, hi < 549755813888 AS below, lo & 1099511627775 AS low40 FROM w")
 def wide_order(spark, sf):
     """Unsigned order of two-word states, a comparison and a mask."""
-    from pyspark.sql import Window
-
     s = State("lo", "hi")
     half = State(F.lit(0).cast("bigint"), F.lit(1 << 39).cast("bigint"))
-    # The place is the feature: a sorted list of all states.
-    return _wide(spark, sf).select("hi", "lo", F.row_number().over(Window.orderBy(*s.order())).cast("bigint").alias("place"), s.below(half).alias("below"), F.col("lo").bitwiseAND(F.lit((1 << 40) - 1)).alias("low40"))
+    return sectors.numbered(_wide(spark, sf), 128).select("hi", "lo", "place", s.below(half).alias("below"), F.col("lo").bitwiseAND(F.lit((1 << 40) - 1)).alias("low40"))
 
 
 _KINDS = [("linear", -1.0, 1.0, 0.25), ("log", -2.0, 2.0, 0.5), ("tanh", -3.0, 3.0, 0.5)]
